@@ -1,0 +1 @@
+"""The engine's operators are batch operators; it has no streaming operators."""
