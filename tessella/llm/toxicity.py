@@ -25,7 +25,7 @@ from tessella.llm.common import checkpointed, held_out, spread
 #: Bounds of the fitted classifier: labelled rows of each class, and terms.
 SAMPLE, TERMS = 1500, 2048
 #: A term must be this much more frequent in one class (chi-square, and ratio of frequencies).
-CHI_SQUARE, RATIO = 30.0, 4.0
+CHI_SQUARE, RATIO = 20.0, 4.0
 NEIGHBOURS, BLOCK = 15, 128
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W_]+")
