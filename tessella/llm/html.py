@@ -315,7 +315,7 @@ def training_page(rng: random.Random) -> str:
     return f"<html><head><title>{_words(rng, 4)}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{before}<!-- x -->{main}{after}</body></html>"
 
 
-def train(pages: int = 500, seed: int = 5) -> boosting.Trees:
+def train(pages: int = 900, seed: int = 5) -> boosting.Trees:
     """Fit the trees on generated pages: an element is positive if its subtree holds main text."""
     rng = random.Random(seed)
     xs, ys, ws = [], [], []

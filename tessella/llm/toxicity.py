@@ -11,7 +11,6 @@ weighted by similarity, are calibrated on the sample (each example without itsel
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,24 +40,32 @@ def pieces(word: str) -> set[str]:
 
 
 class TermCounter:
-    """Counts selected terms of a text; a word's terms are remembered while memory is small."""
+    """Counts selected terms of a text in one pass of an Aho-Corasick automaton."""
 
     def __init__(self, terms: dict[str, int]) -> None:
-        self.terms, self.memory = terms, {}
+        import ahocorasick
+
+        places: dict[str, list[int]] = {}
+        for term, i in terms.items():
+            whole = term.startswith("=")
+            places.setdefault(term[1:] if whole else term, [-1, -1])[whole] = i
+        self.automaton = ahocorasick.Automaton()
+        for word, (piece, whole) in places.items():
+            self.automaton.add_word(word, (len(word), piece, whole))
+        if places:
+            self.automaton.make_automaton()
+        self.empty = not places
 
     def __call__(self, text: str | None) -> dict[int, int]:
         found: dict[int, int] = {}
-        if not self.terms or not text:
+        if self.empty or not text:
             return found
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            hit = self.memory.get(word)
-            if hit is None:
-                hit = tuple(sorted(self.terms[p] for p in pieces(word) if p in self.terms))
-                if len(self.memory) >= 300_000:
-                    self.memory.clear()
-                self.memory[word] = hit
-            for t in hit:
-                found[t] = found.get(t, 0) + n
+        low = text.lower()
+        for end, (n, piece, whole) in self.automaton.iter(low):
+            if piece >= 0:
+                found[piece] = found.get(piece, 0) + 1
+            if whole >= 0 and not low[end - n : end - n + 1].isalnum() * (end >= n) and not low[end + 1 : end + 2].isalnum():
+                found[whole] = found.get(whole, 0) + 1
         return found
 
 
