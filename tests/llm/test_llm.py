@@ -284,6 +284,52 @@ def test_lines(spark, odd):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def brute_line_groups(lines):
+    """Groups of lines (lower case, split at single spaces) by word-level edit similarity of 0.8, all pairs."""
+    split = {x: x.lower().split(" ") for x in lines}
+
+    def linked(x, y):
+        a, b = split[x], split[y]
+        most = max(len(a), len(b)) // 5
+        row = list(range(len(b) + 1))
+        for i, w in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, v in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (w != v))
+        return row[-1] <= most
+
+    return roots_of(lines, [(x, y) for x, y in itertools.combinations(lines, 2) if abs(len(split[x]) - len(split[y])) <= max(len(split[x]), len(split[y])) // 5 and linked(x, y)])
+
+
+def edited(rng, line, edits):
+    w = line.split(" ")
+    for _ in range(edits):
+        at = rng.randrange(len(w))
+        kind = rng.choice("sid") if len(w) > 1 else "s"
+        w[at : at + (kind != "i")] = [] if kind == "d" else [words(rng, 1)]
+    return " ".join(w)
+
+
+def test_lines_against_brute_force(spark):
+    """Lines with up to a fifth of their words changed, short words only, and crowded buckets of unrelated lines."""
+    rng = random.Random(21)
+    lines = []
+    for _ in range(40):
+        base = words(rng, rng.choice([4, 5, 6, 9, 10, 14, 19, 30, 60, 100]))
+        n = len(base.split(" "))
+        lines += [base] + [edited(rng, base, rng.randint(1, max(1, n // 5))) for _ in range(3)]
+    lines += [" ".join(rng.choices(["a", "of", "to", "in", "is"], k=rng.randint(3, 8))) for _ in range(60)]
+    lines += [f"{a} common start of all {words(rng, 6)}" for a in ("the", "a") for _ in range(20)]
+    lines = sorted(set(lines))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    root = brute_line_groups(lines)
+    first = {}
+    for i, x in enumerate(lines):
+        first.setdefault(root[x], i)
+    out = {r["doc_id"]: r["removed"] for r in linededup.removed_lines(docs).collect()}
+    assert {i for i, r in out.items() if r} == {i for i, x in enumerate(lines) if first[root[x]] != i}
+
+
 def test_pipeline_on_small_table(spark):
     import corpus_pipeline as p
 
