@@ -330,6 +330,22 @@ def test_lines_against_brute_force(spark):
     assert {i for i, r in out.items() if r} == {i for i, x in enumerate(lines) if first[root[x]] != i}
 
 
+def test_lines_meet_in_crowded_buckets(spark):
+    """Two near copies meet although their buckets hold smaller and larger unrelated nodes; blocks change nothing."""
+    rng = random.Random(5)
+    start = words(rng, 12)
+    lines = [f"{start} {words(rng, 18)}" for _ in range(60)]
+    copies = [edited(rng, x, 1) for x in lines[:20]]
+    every = sorted(set(lines + copies))
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    found = linededup.document_lines(docs, "doc_id", "text")
+    nodes = linededup.line_nodes(found, linededup.word_levels(found)).withColumn("keys", F.array(F.lit(1).cast("long"))).cache()
+    want = len(set(brute_line_groups(every).values()))
+    for block in (2048, 7):
+        roots = {r["node"]: r["root"] for r in linededup.node_links(docs, nodes, "doc_id", "text", block).collect()}
+        assert len(set(roots.values())) + len(every) - len(roots) == want
+
+
 def test_pipeline_on_small_table(spark):
     import corpus_pipeline as p
 
