@@ -5,14 +5,17 @@ others. The network predicts every word's class from the classes on both sides:
 ``softmax(W tanh(L[left] + R[right] + c) + b)``. Since a window is one class on each side, the counts of
 (left, word, right) over the whole corpus are sufficient statistics: Spark counts every window of every
 document, and numpy trains on the counts, so each token of the corpus takes part in every training step.
-A text's score is the sum of the log-probabilities of its words given their two neighbours.
+
+A word's probability is that of its class given the two neighbours, times that of the word in its class. The
+second is estimated from the counts of all words of all documents, with add-one smoothing: a table that grows with the
+vocabulary, stays distributed and is joined with the words of the texts. A text's score is the sum of both logarithms.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,11 @@ def shape(word: str) -> int:
     return 0 if core.islower() else 2 if core.isupper() and len(core) > 1 else 1
 
 
+def word_class(word: str) -> int:
+    """The class of a word that is not frequent."""
+    return 1 + FREQUENT + shape(word) * BUCKETS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
 class Classifier:
     """Maps words to classes and remembers them while memory is small."""
 
@@ -52,7 +60,7 @@ class Classifier:
         except KeyError:
             for w in words:
                 if w not in memory:
-                    memory[w] = 1 + FREQUENT + shape(w) * BUCKETS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
+                    memory[w] = word_class(w)
             return np.fromiter(map(memory.__getitem__, words), np.int32, len(words))
 
 
@@ -73,9 +81,14 @@ class WindowNetwork:
 
     frequent: list[str]
     table: np.ndarray
+    #: Logarithm of each class's words, different words and one for words never seen; 0 for frequent words.
+    size: np.ndarray
+    #: ``h, gain``: hash of each word that is not frequent, and the logarithm of its count and one.
+    words: DataFrame | None = None
 
     def score(self, classes: np.ndarray) -> float:
-        return float(self.table[windows(classes)].sum(dtype=np.float64))
+        """The part of the log-likelihood that needs no word counts."""
+        return float(self.table[windows(classes)].sum(dtype=np.float64) - self.size[classes].sum())
 
 
 def train(cells: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, hidden: int = HIDDEN, seed: int = 7) -> np.ndarray:
@@ -145,12 +158,44 @@ def count_windows(docs: DataFrame, frequent: list[str], text_column: str = "text
     return texts.mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+def class_sizes(words: DataFrame, frequent: list[str]) -> np.ndarray:
+    """``WindowNetwork.size`` from the counts ``w, count`` of all words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CLASSES, np.int64)
+        for b in batches:
+            of = np.array([word_class(w) for w in b["w"]], np.int64)
+            total += np.bincount(of, b["count"].to_numpy() + 1, CLASSES).astype(np.int64)
+        yield pd.DataFrame({"c": np.arange(CLASSES), "n": total})
+
+    size = np.ones(CLASSES)
+    for r in words.filter(~F.col("w").isin(frequent)).mapInPandas(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
+        size[r["c"]] += r["n"]
+    return np.log(size)
+
+
 def fit_network(docs: DataFrame, text_column: str = "text") -> WindowNetwork:
-    """Train on every word of every document. The driver receives at most ``CLASSES ** 3`` counts."""
-    words = docs.select(F.explode(F.split(F.col(text_column).cast("string"), f"[{SPACE}]+")).alias("w")).filter("w <> ''")
-    frequent = [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
+    """Train on every word of every document. The driver receives at most ``CLASSES ** 3`` counts; those of the words stay distributed."""
+    words = checkpointed(split_words(docs.select(F.col(text_column).cast("string").alias("text"))).groupBy("w").count())
+    frequent = [r["w"] for r in words.orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
     counts = checkpointed(count_windows(docs, frequent, text_column)).toArrow()
-    return WindowNetwork(frequent, train(counts["cell"].to_numpy(), counts["n"].to_numpy()))
+    gains = words.filter(~F.col("w").isin(frequent)).select(F.xxhash64("w").alias("h"), F.log1p("count").alias("gain"))
+    return WindowNetwork(frequent, train(counts["cell"].to_numpy(), counts["n"].to_numpy()), class_sizes(words, frequent), gains)
+
+
+def split_words(texts: DataFrame) -> DataFrame:
+    """A row per word ``w`` of column ``text``, with the other columns."""
+    others = [c for c in texts.columns if c != "text"]
+    return texts.select(*others, F.explode(F.split("text", f"[{SPACE}]+")).alias("w")).filter("w <> ''")
+
+
+def word_gains(docs: DataFrame, network: WindowNetwork, text_column: str) -> DataFrame:
+    """``th, gain``: what the counts of its words add to the log-likelihood of each text, named by its hash."""
+    texts = docs.select(F.col(text_column).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    words = split_words(texts).filter(~F.col("w").isin(network.frequent)).select("th", F.xxhash64("w").alias("h"))
+    total = words.join(network.words, "h").groupBy("th").agg(F.sum("gain").alias("gain"))
+    # Equal texts were added up; each has an equal share.
+    return total.join(texts.groupBy("th").agg(F.count(F.lit(1)).alias("rows")), "th").select("th", (F.col("gain") / F.col("rows")).alias("gain"))
 
 
 def pseudo_likelihood(docs: DataFrame, network: WindowNetwork, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -159,7 +204,7 @@ def pseudo_likelihood(docs: DataFrame, network: WindowNetwork, id_column: str =
     A text without words (or null) has likelihood 0 and a null mean. Null ids and repeated rows give a row
     each; an empty table gives none. Only the two named columns are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(network)  # a fixed number of cells
+    shared = docs.sparkSession.sparkContext.broadcast(replace(network, words=None))  # a fixed number of cells
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = shared.value
@@ -168,8 +213,10 @@ def pseudo_likelihood(docs: DataFrame, network: WindowNetwork, id_column: str =
             found = [classify(t) for t in b["text"]]
             n = np.fromiter(map(len, found), np.int64, len(found))
             total = np.array([net.score(x) if len(x) else 0.0 for x in found])
-            mean = pd.Series(np.where(n > 0, total / np.maximum(n, 1), np.nan))
-            yield pd.DataFrame({"doc_id": b["id"].astype("Int64").to_numpy(), "n_words": n, "log_likelihood": total, "mean_log_likelihood": mean.where(n > 0, None)})
+            yield pd.DataFrame({"doc_id": b["id"].astype("Int64").to_numpy(), "th": b["th"], "n_words": n, "part": total})
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    scored = rows.withColumn("th", F.xxhash64("text")).mapInPandas(run, "doc_id long, th long, n_words long, part double")
+    whole = scored.join(word_gains(docs, network, text_column), "th", "left").withColumn("log_likelihood", F.col("part") + F.coalesce("gain", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood")
+    return whole.select("doc_id", "n_words", "log_likelihood", mean)

@@ -119,6 +119,29 @@ def test_language_model(spark, odd):
     assert lmscore.pseudo_likelihood(odd.limit(0), net).count() == 0
 
 
+def test_language_model_tells_rare_words_apart(spark):
+    """Each word has a probability of its own: those of a class and of words never seen add up to one."""
+    rng = random.Random(12)
+    common = [f"w{i}".replace("0", "o") for i in range(lmscore.FREQUENT)]
+    many, by_class = {}, {}
+    for i in range(3000):
+        w = "".join(rng.choices("abcdefgh", k=9))
+        many[w] = 1 + i % 3
+    texts = [" ".join(common * 40)] + [" ".join([w] * n) for w, n in many.items()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = lmscore.fit_network(docs)
+    assert set(net.frequent) == set(common) and net.words.count() == len(many)
+    for w in many:
+        by_class.setdefault(lmscore.word_class(w), []).append(w)
+    k, same = max(by_class.items(), key=lambda x: len(x[1]))
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(same + same[:1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_likelihood"] for r in lmscore.pseudo_likelihood(asked, net).collect()}
+    top = float(net.table[k])
+    size = sum(many[w] + 1 for w in same) + 1
+    assert all(abs(got[i] - top - np.log((many[w] + 1) / size)) < 1e-6 for i, w in enumerate(same)) and abs(got[len(same)] - got[0]) < 1e-12
+    assert abs(sum(np.exp(got[i] - top) for i in range(len(same))) + 1 / size - 1) < 1e-6
+
+
 @pytest.fixture(scope="module")
 def trees():
     return html.train()
