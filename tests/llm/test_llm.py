@@ -101,6 +101,31 @@ def test_nearest(spark):
     assert nndescent.nearest(df.limit(0), df.select(F.col("vec_id").alias("id"))).count() == 0
 
 
+def test_nearest_of_unequal_lengths(spark):
+    """A table much larger than two runs, with lengths that differ by orders of magnitude: the nearest are long vectors far away."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(20_000, 24)) * np.exp(rng.normal(size=(20_000, 1)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = list(range(0, 20_000, 100))
+    got = {}
+    for r in nndescent.nearest(df, spark.createDataFrame([(i,) for i in asked], "id long")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hit / (20 * len(asked)) >= 0.95, hit / (20 * len(asked))
+
+
+def test_search_goes_on_until_nothing_is_left(spark):
+    """On a chain towards longer vectors, a search walks all the way, not a fixed number of hops."""
+    half = nndescent.half_vectors(spark.createDataFrame([(i, [float(i + 1), 0.0]) for i in range(13)], "id long, x array<double>"))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "u long, v long")
+    found = nndescent.search(edges, half, spark.createDataFrame([(0,)], "q long"), spark.createDataFrame([], "v long"), beam=64)
+    assert {r["v"] for r in found.collect()} == set(range(13))
+
+
 def test_language_model(spark, odd):
     rng = random.Random(4)
     docs = spark.createDataFrame([(i, " ".join(rng.choice(["the cat sat on", "a dog ran to", "some bird flew by"]) + " it" for _ in range(30))) for i in range(60)], "doc_id long, text string")
