@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -180,10 +181,10 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
             above_bad[i] = above_bad[p] + (bad[p] > 0) + nodes[p].hidden
             above_tag[i] = above_tag[p] + (nodes[p].tag in ("nav", "aside", "footer", "header", "form", "dialog", "button"))
         children = [c for c in x.parts if not isinstance(c, str)]
-        tags = [nodes[c].tag for c in children]
+        tags = Counter(nodes[c].tag for c in children)
         for k, c in enumerate(children):
             place[c] = k / max(1, len(children) - 1)
-            same[c] = tags.count(nodes[c].tag) if len(tags) < 64 else len(tags)
+            same[c] = tags[nodes[c].tag]
     groups = np.zeros((n, len(TAG_GROUPS) + 2))
     for i, x in enumerate(nodes):
         for k, g in enumerate(TAG_GROUPS):

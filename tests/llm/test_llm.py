@@ -192,6 +192,15 @@ def test_html(spark, trees):
     assert html.main_text(df, trees).count() == 3 and html.main_text(df.limit(0), trees).count() == 0
 
 
+def test_html_counts_same_tags_among_many():
+    """A single h1 among a hundred paragraphs has one sibling of its tag, itself, as among few."""
+    column = 20
+    for n in (10, 100):
+        nodes = html.parse("<body><h1>Title</h1>" + "<p>text</p>" * n + "</body>")
+        f, _ = html.features(nodes)
+        assert [f[i, column] for i, x in enumerate(nodes) if x.tag == "h1"] == [1] and {f[i, column] for i, x in enumerate(nodes) if x.tag == "p"} == {n}
+
+
 def roots_of(nodes, linked):
     root = {n: n for n in nodes}
 
