@@ -1,54 +1,41 @@
 """Byte-level BPE in Spark's higher-order functions.
 
-A text is cut into pieces by the tokenizer's pattern. A piece becomes the array of its bytes' token ids,
-and a fold merges, again and again, the neighbouring pair with the lowest rank, until no pair has a rank.
-Since a token's id is its rank, the rank map is keyed by pairs of ids. It is a literal: two arrays that form
-a perfect hash table (slot = key * multiplier[key mod P] mod M), since Spark's own map lookup scans all keys.
-
-Frequent pieces are folded once, as distinct words, and looked up in a second literal table of bounded size.
-The table is only a memory of folds: pieces outside it are folded where they stand, with the same result.
-Decoding maps ids to their bytes and concatenates them.
+A text is cut into pieces by the tokenizer's pattern. Texts are taken in chunks of bounded size, and a chunk becomes
+one row: its distinct words, and each text as positions in them. A word becomes the array of its bytes' token ids,
+and a fold merges, again and again, the neighbouring pair with the lowest rank, until no pair has a rank; the texts'
+ids are then gathered from the folded words. Since a token's id is its rank, the rank map is keyed by pairs of ids. It
+is a literal: two arrays that form a perfect hash table (slot = key * multiplier[key mod P] mod M), since Spark's own
+map lookup scans all keys.
+
+Words that most chunks share are folded once for the whole corpus: the chunks of all texts are counted for each word, and
+the folds of the most widespread ones, a bounded number, are broadcast. All other words are folded once in each chunk.
+Both take the same fold, and texts never move.
+
+The fold takes a step per merge and each step reads the whole word, so words of more than ``LONG`` bytes are folded with
+a heap instead, beside the others. Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Sequence
+import hashlib
+import heapq
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import spread
+from tessella.llm.common import checkpointed
+from tessella.llm.textfeatures import batches_of_texts
 
-#: Bounds of the memory of folds: documents whose words are counted, and words kept.
-MEMORY_DOCUMENTS, MEMORY_WORDS = 30_000, 400_000
+#: Characters of a chunk (a longer text is a chunk of its own), and the bytes beyond which a heap folds a word.
+CHUNK, LONG = 1 << 23, 128
+#: Words whose folds are broadcast: about 20 MB. Which words these are changes the work, never the result.
+SHARED = 500_000
 NONE = 1 << 16
-#: Unicode white space, spelled out: Java's own class knows ASCII only. A fixed value.
-WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-
-
-def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern with the white space classes of its own engine."""
-    inside = False
-    out, i = [], 0
-    while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two == r"\s":
-            out.append(WHITE if inside else f"[{WHITE}]")
-            i += 2
-        elif two == r"\S" and not inside:
-            out.append(f"[^{WHITE}]")
-            i += 2
-        elif pattern[i] == "\\":
-            out.append(two)
-            i += 2
-        else:
-            inside = inside and pattern[i] != "]" or not inside and pattern[i] == "["
-            out.append(pattern[i])
-            i += 1
-    return "".join(out)
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -70,29 +57,29 @@ class PerfectHash:
     def build(cls, keys: np.ndarray) -> PerfectHash:
         """``keys``: distinct, 0 <= key < 2**32."""
         prime = _prime(max(3, len(keys) // 3))
-        size = _prime(max(5, int(len(keys) * 1.35)))
+        size = _prime(max(5, 2 * len(keys)))
+        groups: dict[int, list[int]] = {}
+        for i, bucket in enumerate((keys % prime).tolist()):
+            groups.setdefault(bucket, []).append(i)
+        values = keys.tolist()
         while True:
-            bucket = keys % prime
-            order = np.argsort(bucket, kind="stable")
-            starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(keys) else np.zeros(0, np.int64)
-            groups = np.split(order, starts[1:]) if len(keys) else []
-            taken = np.zeros(size, bool)
-            multiplier = np.ones(prime, np.int64)
-            slots = np.zeros(len(keys), np.int64)
-            for g in sorted(groups, key=len, reverse=True):
-                k = keys[g]
-                if len(np.unique(k % size)) < len(k):
+            taken = bytearray(size)
+            multiplier, slots = [1] * prime, [0] * len(values)
+            for bucket, group in sorted(groups.items(), key=lambda g: -len(g[1])):
+                own = [values[i] % size for i in group]
+                if len(set(own)) < len(own):
                     break  # equal for every multiplier: another size is needed
                 for m in range(1, size):
-                    s = k * m % size
-                    if not taken[s].any() and len(np.unique(s)) == len(s):
-                        taken[s] = True
-                        multiplier[bucket[g[0]]], slots[g] = m, s
+                    at = [k * m % size for k in own]
+                    if not any(taken[x] for x in at) and len(set(at)) == len(at):
                         break
                 else:
                     break
+                multiplier[bucket] = m
+                for i, x in zip(group, at, strict=True):
+                    taken[x], slots[i] = 1, x
             else:
-                return cls(prime, size, multiplier, slots)
+                return cls(prime, size, np.array(multiplier, np.int64), np.array(slots, np.int64))
             size = _prime(size + 1)
 
 
@@ -107,6 +94,35 @@ def _numbers(values: Sequence[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def heap_fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word in n log n: the lowest pair, the leftmost of equal ones, is taken from a heap."""
+    n = len(word)
+    after, before = list(range(1, n + 2)), list(range(-1, n))  # where a token's successor and predecessor begin
+    heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        if not alive[i] or after[i] >= n or after[after[i]] != end:
+            continue  # one of the two has been merged since
+        alive[after[i]] = False
+        after[i] = end
+        if end < n:
+            before[end] = i
+            rank = ranks.get(word[i : after[end]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, after[end]))
+        if i:
+            rank = ranks.get(word[before[i] : end])
+            if rank is not None:
+                heapq.heappush(heap, (rank, before[i], end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
+
+
 @dataclass
 class Vocabulary:
     """A tokenizer's ranks, as literal tables."""
@@ -131,6 +147,8 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        #: Tokens that no sequence of merges makes: as whole words they are found by name.
+        self.whole = {t: r for t, r in self.ranks.items() if len(t) > 1 and heap_fold(t, self.ranks) != [r]}
 
     def tables(self) -> Column:
         """One literal struct: a lambda binds it once, so every use reads the same arrays."""
@@ -144,12 +162,12 @@ class Vocabulary:
         return F.least((cell - key * NONE).bitwiseAND((1 << 62) - 1), F.lit(NONE)) * NONE
 
     def fold(self, t: Column, word: Column) -> Column:
-        """Ids of one piece: its bytes, folded.
+        """Ids of one word, given as bytes.
 
         A cell of the fold is ``rank * 65536 + id``: a token and the rank of its pair with the next one. The
         least cell is the pair to merge, its first position the leftmost, and its rank the merged token.
         """
-        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+        latin = F.decode(word, "ISO-8859-1")
         ids = F.transform(F.split(latin, ""), lambda c: F.get(t["bytes"], F.ascii(c)).cast("bigint"))
 
         def begin(ids: Column) -> Column:
@@ -174,105 +192,133 @@ class Vocabulary:
             steps = F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1)))
             return F.aggregate(steps, begin(ids), merge, lambda x: F.transform(x, lambda c: c.bitwiseAND(NONE - 1).cast("int")))
 
-        return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(F.get(F.transform(F.array(ids), run), 0))
-
-
-@dataclass
-class Memory:
-    """Folds of frequent pieces: a bounded literal table."""
-
-    words: list[str]
-    ids: list[list[int]]
-    hash: PerfectHash
-
-    @classmethod
-    def of(cls, found: list[tuple[str, int, list[int]]]) -> Memory:
-        """``found``: word, its 32-bit hash, its ids. Words that share a hash are left out."""
-        seen: dict[int, int] = {}
-        for i, (_, key, _) in enumerate(found):
-            seen[key] = -1 if key in seen else i
-        kept = [found[i] for i in seen.values() if i >= 0]
-        h = PerfectHash.build(np.array([k for _, k, _ in kept], np.int64))
-        words, ids = [""] * h.size, [[] for _ in range(h.size)]
-        for slot, (w, _, x) in zip(h.slots.tolist(), kept, strict=True):
-            words[slot], ids[slot] = w, x
-        return cls(words, ids, h)
-
-    def tables(self) -> Column:
-        # Constant folding takes from_json, but no lambda: the table is built once, not for each row.
-        ids = F.from_json(F.lit(str(self.ids)), "array<array<int>>")
-        words = F.split(F.lit("\u0001".join(self.words)), "\u0001")
-        return F.struct(words.alias("words"), ids.alias("ids"), _numbers(self.hash.multiplier.tolist(), "bigint").alias("mult"))
-
-    def slot(self, t: Column, word: Column) -> Column:
-        key = piece_key(word)
-        return (key * F.get(t["mult"], (key % self.hash.prime).cast("int")) % self.hash.size).cast("int")
+        return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(F.get(F.transform(F.array(ids), run), 0))
 
 
-def piece_key(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND((1 << 32) - 1)
+class Positions(dict):
+    """Numbers new keys as they are asked for."""
 
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
 
-def pieces(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
+def chunks_of_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_column: str, text_column: str, size: int, folds: pa.Table | None = None) -> DataFrame:
+    """A row per chunk of texts: ``words`` (bytes, and the ids of those that are not left to the fold) and ``texts`` (id, positions).
 
-def remember(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_column: str = "text", documents: int = MEMORY_DOCUMENTS, words: int = MEMORY_WORDS) -> Memory | None:
-    """Fold the most frequent distinct pieces of a bounded number of documents."""
-    some = docs.select(F.col(text_column).cast("string").alias("text")).filter("text is not null").orderBy(spread(F.col("text"))).limit(documents)
-    found = some.select(F.explode(pieces(F.col("text"), pattern)).alias("w")).groupBy("w").count().filter("count > 1 and not contains(w, '\u0001')")
-    top = found.orderBy(F.desc("count"), "w").limit(words).select("w").repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    folded = top.select("w", piece_key(F.col("w")).alias("k"), F.get(F.transform(F.array(vocabulary.tables()), lambda t: vocabulary.fold(t, F.col("w"))), 0).alias("ids"))
-    got = folded.toArrow()
-    rows = list(zip(got["w"].to_pylist(), got["k"].to_pylist(), got["ids"].to_pylist(), strict=True))
-    return Memory.of(rows) if rows else None
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_column: str = "text", memory: Memory | None = None) -> DataFrame:
-    """``docs`` with ``ids``: the token ids of the whole text (null and empty texts have none)."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    ``folds``: ids of a bounded number of words (columns ``word``, ``ids``).
+    """
+    # The size of the vocabulary and of ``SHARED`` words.
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.ranks, vocabulary.whole, folds))
+    kinds = pa.schema([
+        ("words", pa.list_(pa.struct([("word", pa.binary()), ("ids", pa.list_(pa.int32()))]))),
+        ("texts", pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.list_(pa.int32()))]))),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        cut = regex.compile(pattern)
+        ranks, whole, folds = shared.value
+        place = {w: i for i, w in enumerate(folds["word"].to_pylist())} if folds else {}
+        values, ends = _flat(folds["ids"].combine_chunks()) if folds else (None, [])
+
+        def known(word: bytes) -> np.ndarray | list[int] | None:
+            i = place.get(word)
+            if i is not None:
+                return values[ends[i] : ends[i + 1]]
+            return [whole[word]] if word in whole else heap_fold(word, ranks) if len(word) > LONG else None
+
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for i, j in batches_of_texts(texts, size):
+                position, found = Positions(), []
+                for t in texts[i:j]:
+                    pieces = cut.findall(t or "")
+                    found.append(np.fromiter(map(position.__getitem__, pieces), np.int32, len(pieces)))
+                words = [w.encode("utf-8") for w in position]
+                at = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), np.concatenate(found))
+                names = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array([known(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
+                rows = pa.StructArray.from_arrays([b.column(0).slice(i, j - i), at], names=["doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(names)], names), pa.ListArray.from_arrays([0, len(rows)], rows)], schema=kinds)
+
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInArrow(run, "words array<struct<word: binary, ids: array<int>>>, texts array<struct<doc_id: long, at: array<int>>>")
+
+
+def _folded(words: Column, vocabulary: Vocabulary) -> Column:
+    """The ids of each of ``words``; the literal tables are bound once for all of them."""
+    return F.get(F.transform(F.array(vocabulary.tables()), lambda t: F.transform(words, lambda w: F.coalesce(w["ids"], vocabulary.fold(t, w["word"])))), 0)
+
+
+def shared_folds(chunks: DataFrame, vocabulary: Vocabulary, most: int = SHARED) -> pa.Table | None:
+    """``word, ids`` of the words that occur in most chunks: at most ``most``, all in at least two chunks."""
+    words = chunks.select(F.explode("words.word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
+    words = checkpointed(words.filter("chunks > 1"))
+    least, total = None, 0
+    for r in words.groupBy("chunks").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("chunks")).collect():  # a row per number of chunks
+        total += r["n"]
+        if total > most:
+            break
+        least = r["chunks"]
+    if least is None:
+        return None
+    group = words.filter(F.col("chunks") >= least).select(F.struct("word", F.lit(None).cast("array<int>").alias("ids")).alias("w"))
+    folded = group.groupBy(F.pmod(F.xxhash64("w.word"), F.lit(max(1, total // 1000)))).agg(F.collect_list("w").alias("words"))  # about a thousand words each
+    return folded.select(F.inline(F.arrays_zip(F.col("words.word").alias("word"), _folded(F.col("words"), vocabulary).alias("ids")))).toDF("word", "ids").toArrow()
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_column: str = "doc_id", text_column: str = "text", size: int = CHUNK, shared: int = SHARED) -> DataFrame:
+    """``doc_id, ids``: the token ids of each whole text, without special tokens.
+
+    Null and empty texts have no ids. Null ids and repeated rows give a row each; an empty table none. Only the two named
+    columns are read, so others may have any name. A text of any length is one row; a word is folded once in its chunk at
+    most. ``size`` and ``shared`` change the work, not the result.
+    """
 
-    def run(t: Column) -> Column:
-        def one(w: Column) -> Column:
-            if memory is None:
-                return vocabulary.fold(t["v"], w)
-            known = F.get(F.transform(F.array(memory.slot(t["m"], w)), lambda s: F.when(F.get(t["m"]["words"], s) == w, F.get(t["m"]["ids"], s))), 0)
-            return F.coalesce(known, vocabulary.fold(t["v"], w))
+    def gathered(ids: Column) -> Column:
+        return F.transform("texts", lambda t: F.struct(t["doc_id"].alias("doc_id"), F.flatten(F.transform(t["at"], lambda i: F.get(ids, i))).alias("ids")))
 
-        return F.flatten(F.transform(pieces(text, pattern), one))
+    folds = shared_folds(chunks_of_words(docs, vocabulary, pattern, id_column, text_column, size), vocabulary, shared)
+    rows = chunks_of_words(docs, vocabulary, pattern, id_column, text_column, size, folds)
+    return rows.select(F.inline(F.get(F.transform(F.array(_folded(F.col("words"), vocabulary)), gathered), 0)))
 
-    parts = [vocabulary.tables().alias("v")] + ([memory.tables().alias("m")] if memory else [])
-    return docs.withColumn("ids", F.get(F.transform(F.array(F.struct(*parts)), run), 0))
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, list[int]]:
+    """The values of a list column without nulls, and where each row begins and ends."""
+    offsets = np.asarray(column.offsets)
+    return np.asarray(column.values)[offsets[0] : offsets[-1]], (offsets - offsets[0]).tolist()
 
-def _joined(ids: Column, words: Sequence[str]) -> Column:
-    """Bytes of the ids' hexadecimal words, concatenated."""
-    table = F.split(F.lit(",".join(words)), ",")
-    return F.unhex(F.get(F.transform(F.array(table), lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")), 0))
 
+def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``doc_id, data`` of rows ``doc_id, ids``: the bytes that the ids stand for, concatenated."""
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.tokens)
 
-def little_endian(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The ids as unsigned 32-bit little-endian integers."""
-    return _joined(ids, [i.to_bytes(4, "little").hex() for i in range(len(vocabulary.tokens))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, at = _flat(b.column(1))
+            pieces = list(map(shared.value.__getitem__, ids.tolist()))
+            data = [b"".join(pieces[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
+    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, data binary")
 
-def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The bytes that the ids stand for."""
-    return _joined(ids, [t.hex() for t in vocabulary.tokens])
 
+def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows ``doc_id, ids``; the decoded bytes come from the ids."""
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.tokens)
 
-def encode_digests(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; the decoded bytes come from the ids.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, at = _flat(b.column(1))
+            raw, pieces = memoryview(ids.astype("<u4").tobytes()), list(map(shared.value.__getitem__, ids.tolist()))
+            spans = list(zip(at[:-1], at[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([e - s for s, e in spans], pa.int64()), pa.array([hashlib.sha256(raw[4 * s : 4 * e]).hexdigest() for s, e in spans], pa.string()),
+                pa.array([hashlib.sha256(b"".join(pieces[s:e])).hexdigest() for s, e in spans], pa.string()),
+            ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    Null and empty texts have no tokens. Null ids and repeated rows give a row each; an empty table none.
-    """
-    memory = remember(docs, vocabulary, pattern, text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    ids = encode(rows, vocabulary, pattern, "text", memory)
-    return ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(F.col("ids"), vocabulary), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
-    )
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-__all__ = ["Memory", "Vocabulary", "decode", "encode", "encode_digests", "load_ranks", "remember"]
+__all__ = ["Vocabulary", "decode", "digests", "encode", "heap_fold", "load_ranks"]

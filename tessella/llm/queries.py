@@ -92,10 +92,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tessella.llm.bpe import Vocabulary, encode_digests, load_ranks
+    from tessella.llm.bpe import Vocabulary, digests, encode, load_ranks
 
     vocabulary = Vocabulary(load_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
-    return encode_digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return digests(encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN), vocabulary)
 
 
 @query
