@@ -25,16 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import checkpointed
-from tessella.llm.textfeatures import batches_of_texts
+from tessella.llm.textfeatures import ranges
 
 #: Characters of a chunk (a longer text is a chunk of its own), and the bytes beyond which a heap folds a word.
-CHUNK, LONG = 1 << 23, 128
-#: Words whose folds are broadcast: about 20 MB. Which words these are changes the work, never the result.
-SHARED = 500_000
+CHUNK, LONG = 1 << 22, 128
+#: Words whose folds are broadcast: about 10 MB. Which words these are changes the work, never the result.
+SHARED = 200_000
 NONE = 1 << 16
 
 
@@ -221,24 +222,35 @@ def chunks_of_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_co
         cut = regex.compile(pattern)
         ranks, whole, folds = shared.value
         place = {w: i for i, w in enumerate(folds["word"].to_pylist())} if folds else {}
-        values, ends = _flat(folds["ids"].combine_chunks()) if folds else (None, [])
-
-        def known(word: bytes) -> np.ndarray | list[int] | None:
-            i = place.get(word)
-            if i is not None:
-                return values[ends[i] : ends[i + 1]]
-            return [whole[word]] if word in whole else heap_fold(word, ranks) if len(word) > LONG else None
+        values, ends = _flat(folds["ids"].combine_chunks()) if folds else (np.zeros(0, np.int32), [0])
+        sizes = np.diff(ends)
+
+        def known(words: list[bytes]) -> pa.ListArray:
+            """Ids of shared words, of long ones and of those without merges; null for all others."""
+            own = {i: [whole[w]] if w in whole else heap_fold(w, ranks) for i, w in enumerate(words) if len(w) > LONG or w in whole}
+            table = np.concatenate([values, *[np.array(x, np.int32) for x in own.values()]])
+            begins, lengths = np.append(ends[:-1], len(values)).astype(np.int64), np.append(sizes, 0).astype(np.int64)
+            at = np.array([place.get(w, len(sizes)) for w in words], np.int64)
+            start, n = begins[at], lengths[at]
+            after = len(values)
+            for i, x in own.items():
+                start[i], n[i], after = after, len(x), after + len(x)
+            to = np.concatenate([[0], np.cumsum(n)])
+            flat = table[np.arange(to[-1]) + np.repeat(start - to[:-1], n)]
+            return pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(n == 0))
 
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in batches_of_texts(texts, size):
+            texts = b.column(1)
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            for i, j in ranges(lengths, size):
                 position, found = Positions(), []
-                for t in texts[i:j]:
+                for t in texts.slice(i, j - i).to_pylist():
                     pieces = cut.findall(t or "")
                     found.append(np.fromiter(map(position.__getitem__, pieces), np.int32, len(pieces)))
                 words = [w.encode("utf-8") for w in position]
                 at = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), np.concatenate(found))
-                names = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array([known(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
+                del position, found
+                names = pa.StructArray.from_arrays([pa.array(words, pa.binary()), known(words)], names=["word", "ids"])
                 rows = pa.StructArray.from_arrays([b.column(0).slice(i, j - i), at], names=["doc_id", "at"])
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(names)], names), pa.ListArray.from_arrays([0, len(rows)], rows)], schema=kinds)
 

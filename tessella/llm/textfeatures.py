@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -72,13 +72,18 @@ def mean_weight(weights: np.ndarray, slots: np.ndarray, ends: np.ndarray) -> np.
     return (total[ends] - total[begins]) / np.maximum(ends - begins, 1)
 
 
-def batches_of_texts(texts: Sequence[str | None], characters: int = 1 << 21):  # noqa: ANN201
-    """Index ranges whose texts have about so many characters together (a longer text is a range of its own)."""
+def ranges(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Index ranges whose sizes add up to about ``most`` (a larger item is a range of its own)."""
     i = 0
-    while i < len(texts):
+    while i < len(sizes):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j] or "") <= characters):
-            size += len(texts[j] or "")
+        while j < len(sizes) and (j == i or size + sizes[j] <= most):
+            size += sizes[j]
             j += 1
         yield i, j
         i = j
+
+
+def batches_of_texts(texts: Sequence[str | None], characters: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Index ranges whose texts have about so many characters together (a longer text is a range of its own)."""
+    return ranges([len(t or "") for t in texts], characters)
