@@ -33,9 +33,9 @@ from tessella.llm.common import checkpointed
 from tessella.llm.textfeatures import ranges
 
 #: Characters of a chunk (a longer text is a chunk of its own), and the bytes beyond which a heap folds a word.
-CHUNK, LONG = 1 << 22, 128
-#: Words whose folds are broadcast: about 10 MB. Which words these are changes the work, never the result.
-SHARED = 200_000
+CHUNK, LONG = 1 << 23, 128
+#: Words whose folds are broadcast: about 20 MB. Which words these are changes the work, never the result.
+SHARED = 500_000
 NONE = 1 << 16
 
 
@@ -302,6 +302,11 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, list[int]]:
     return np.asarray(column.values)[offsets[0] : offsets[-1]], (offsets - offsets[0]).tolist()
 
 
+def _bytes(ids: np.ndarray, tokens: list[bytes]) -> bytes:
+    """The tokens of one text, concatenated."""
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``doc_id, data`` of rows ``doc_id, ids``: the bytes that the ids stand for, concatenated."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.tokens)
@@ -309,8 +314,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, at = _flat(b.column(1))
-            pieces = list(map(shared.value.__getitem__, ids.tolist()))
-            data = [b"".join(pieces[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+            data = [_bytes(ids[s:e], shared.value) for s, e in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, data binary")
@@ -323,11 +327,10 @@ def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, at = _flat(b.column(1))
-            raw, pieces = memoryview(ids.astype("<u4").tobytes()), list(map(shared.value.__getitem__, ids.tolist()))
-            spans = list(zip(at[:-1], at[1:], strict=True))
+            raw, spans = memoryview(ids.astype("<u4")), list(zip(at[:-1], at[1:], strict=True))
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([e - s for s, e in spans], pa.int64()), pa.array([hashlib.sha256(raw[4 * s : 4 * e]).hexdigest() for s, e in spans], pa.string()),
-                pa.array([hashlib.sha256(b"".join(pieces[s:e])).hexdigest() for s, e in spans], pa.string()),
+                b.column(0), pa.array([e - s for s, e in spans], pa.int64()), pa.array([hashlib.sha256(raw[s:e]).hexdigest() for s, e in spans], pa.string()),
+                pa.array([hashlib.sha256(_bytes(ids[s:e], shared.value)).hexdigest() for s, e in spans], pa.string()),
             ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
