@@ -29,6 +29,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def id_text(name: str) -> Column:
+    """An id on its way through pandas, which would turn longs beside nulls into doubles."""
+    return F.col(name).cast("long").cast("string")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the fold that no model learns from; rows without an id never do."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import boosting
+from tessella.llm.common import id_text
 
 # Element groups and attribute words. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -370,7 +371,8 @@ def main_text(pages: DataFrame, trees: boosting.Trees, id_column: str = "page_id
             for s in range(0, len(b), 200):
                 part = b.iloc[s : s + 200]
                 texts = extract(part["html"].tolist(), model)
-                yield pd.DataFrame({"page_id": part["page_id"].astype("Int64").to_numpy(), "url": part["url"].to_numpy(), "text": texts, "n_chars": np.fromiter(map(len, texts), np.int64, len(texts))})
+                yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": texts, "n_chars": np.fromiter(map(len, texts), np.int64, len(texts))})
 
-    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(id_text(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"))
+    out = rows.mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import held_out, spread
+from tessella.llm.common import held_out, id_text, spread
 from tessella.llm.textfeatures import SIZE, batches_of_texts, mean_weight, ngram_slots
 
 #: Bound of the labelled sample (rows of each class), and how far relative frequencies are scaled.
@@ -57,7 +57,9 @@ def _sample(docs: DataFrame, labels: DataFrame, target: str, size: int) -> DataF
         part = marks.filter(F.col("y") == y).orderBy(spread(F.col("doc_id")), "doc_id").limit(size)
         picked = part if picked is None else picked.unionByName(part)
     # The sample is bounded by 2 * size ids, so it may be broadcast.
-    return docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows that repeat an id, the smallest text counts.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, rounds: int = 150) -> QualityModel:
@@ -165,7 +167,8 @@ def quality_rules(docs: DataFrame, model: QualityModel, id_column: str = "doc_id
     """Counts, base verdict, probability and final verdict of every row, beside its id.
 
     A null or empty text has no words, so the base rules reject it. Null ids and repeated rows give a row
-    each; an empty table gives none. Only the two named columns are read.
+    each; an empty table gives none. A text of any length is counted and scored whole, and equal texts score alike. Only
+    the two named columns are read, so others may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
@@ -173,19 +176,23 @@ def quality_rules(docs: DataFrame, model: QualityModel, id_column: str = "doc_id
         for b in batches:
             texts = b["text"].tolist()
             out = base_counts(texts)
-            out.insert(0, "doc_id", b["id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", b["id"].to_numpy())
             out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
             out["probability"] = shared.value.probability(texts)
             out["kept"] = ~out["base_failed"] & (out["probability"] >= threshold)
             yield out
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
-    return rows.mapInPandas(run, schema)
+    rows = docs.select(id_text(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    schema = "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
+    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text passes."""
+    """The rows of ``docs``, all columns, whose text passes.
+
+    Null and empty texts fail. Rows are judged one by one, so repeated rows stay or go together, and ids play no part; an
+    empty table stays empty. No column is added, so the others may have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed
+from tessella.llm.common import checkpointed, id_text
 from tessella.llm.components import connected_components
 
 BITS = 64
@@ -63,10 +63,10 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, width: int)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.fromiter((majority(shingle_hashes(t, width)) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"id": b["id"], "fp": fps.view(np.int64)})
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInPandas(run, "id long, fp long")
+    rows = docs.select(id_text(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInPandas(run, "id string, fp long").select(F.col("id").cast("long").alias("id"), "fp")
 
 
 class Forest:

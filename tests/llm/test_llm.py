@@ -118,9 +118,37 @@ def test_nearest_of_unequal_lengths(spark):
     assert hit / (20 * len(asked)) >= 0.95, hit / (20 * len(asked))
 
 
+@pytest.mark.parametrize("n", [2, 18, 60])
+def test_nearest_of_few(spark, n):
+    """Small tables are searched whole: every candidate is met."""
+    x = np.random.default_rng(n).normal(size=(n, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = nndescent.nearest(df, df.select(F.col("vec_id").alias("id"))).collect()
+    got = {q: [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] for q in range(n)}
+    for q in range(n):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == np.argsort(-s)[: min(20, n - 1)].tolist()
+
+
+def test_nearest_beside_one_huge_vector(spark):
+    x = np.random.default_rng(3).normal(size=(4000, 16))
+    x[11] *= 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nndescent.nearest(df, df.filter("vec_id % 40 = 0").select(F.col("vec_id").alias("id"))).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 4000, 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hit / 2000 >= 0.95
+
+
 def test_search_goes_on_until_nothing_is_left(spark):
     """On a chain towards longer vectors, a search walks all the way, not a fixed number of hops."""
-    half = nndescent.half_vectors(spark.createDataFrame([(i, [float(i + 1), 0.0]) for i in range(13)], "id long, x array<double>"))
+    half = nndescent.scaled_vectors(spark.createDataFrame([(i, [float(i + 1), 0.0]) for i in range(13)], "id long, x array<double>"), 0)
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "u long, v long")
     found = nndescent.search(edges, half, spark.createDataFrame([(0,)], "q long"), spark.createDataFrame([], "v long"), beam=64)
     assert {r["v"] for r in found.collect()} == set(range(13))
@@ -308,17 +336,58 @@ def test_quality(spark, odd):
 
 
 def test_bpe(spark, odd):
-    P = pytest.importorskip("public_tokenizers")
-    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+    import tiktoken
+
+    rng = random.Random(31)
     ranks = bpe.load_ranks(spark, P.path("byte_bpe_multi_50k.tiktoken"))
     v = bpe.Vocabulary(ranks)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [t for _, t in ODD] + ["It's   the   café's 12345 №½ naïve—“quoted” 漢字かな \U0001f468‍\U0001f469 <|endoftext|>", "aaaaaaaaaaaaaaaaaaaaaaa", "\r\n\r\n  x\t", "Donaudampfschifffahrtsgesellschaft"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for r in bpe.encode_digests(docs, v, P.PATTERN).collect():
-        t = texts[r["doc_id"]] or ""
-        ids = enc.encode_ordinary(t)
-        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()), t[:40]
+    texts = [t for _, t in ODD] + ["It's   the   café's 12345 №½ naïve—“quoted” 漢字かな \U0001f468‍\U0001f469 <|endoftext|>", "a" * 23, "\r\n\r\n  x\t", "Donaudampfschifffahrtsgesellschaft", "a" * 129]
+    texts += ["".join(rng.choices("abcdeé漢 ", k=200_000)), "".join(rng.choices("abcdefghij", k=200_000)), "".join(rng.choices("ab", k=127)), "".join(rng.choices("etaoin", k=130))]
+    texts += [words(rng, 30) for _ in range(20)]
+    docs = spark.createDataFrame([(2**53 + i if i else None, t, "words") for i, t in enumerate(texts)], "doc_id long, text string, texts string").repartition(2)
+    for size, shared in ((bpe.CHUNK, bpe.SHARED), (500, 40)):  # one chunk each, and many that share words
+        encoded = bpe.encode(docs, v, P.PATTERN, size=size, shared=shared)
+        data = {r["doc_id"]: bytes(r["data"]) for r in bpe.decode(encoded, v).collect()}
+        out = bpe.digests(encoded, v).collect()
+        assert len(out) == len(texts)
+        for r in out:
+            t = texts[(r["doc_id"] or 2**53) - 2**53] or ""
+            ids = enc.encode_ordinary(t)
+            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()), t[:40]
+            assert data[r["doc_id"]] == t.encode()
+    assert bpe.digests(bpe.encode(odd.limit(0), v, P.PATTERN), v).count() == 0
+    for k in (1, 2, 50, 1000):
+        w = "".join(rng.choices("abet", k=k)).encode()
+        assert bpe.heap_fold(w, ranks) == enc.encode_ordinary(w.decode())
+
+
+def test_bpe_finds_whole_words_that_no_merge_makes(spark):
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"bc": 256, b"abc d"[:3] + b"z": 257, b"ab": 258, b"abq": 259}
+    v = bpe.Vocabulary(ranks)
+    enc = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    texts = ["abcz abc abq", "abczabcz bc", "abq"]
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), v, r"\S+|\s+").collect()}
+    assert v.whole == {b"abcz": 257} and all(got[i] == enc.encode_ordinary(t) for i, t in enumerate(texts))
+
+
+def test_ids_beside_nulls(spark):
+    """An id above 2**53 in one batch with a null id stays as it is in every operator that returns ids."""
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(None, words(random.Random(1), 60)), (big, words(random.Random(2), 60)), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    vectors = spark.createDataFrame([(None, [1.0]), (big, [2.0]), (big + 2, [3.0])], "vec_id long, embedding array<double>").coalesce(1)
+    results = [
+        toxicity.toxicity(docs, toxicity.fit_toxicity(docs, labels)), lmscore.pseudo_likelihood(docs, lmscore.fit_network(docs)), simhash.near_duplicates(docs), packing.pack_documents(docs),
+        quality.quality_rules(docs, quality.fit_quality(docs, labels)), linededup.removed_lines(docs), sharding.shard_documents(docs), html.main_text(pages, html.train(20)).withColumnRenamed("page_id", "doc_id"),
+    ]
+    for out in results:
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} == {None, big, big + 2}
+    assert {(r["query_id"], r["vec_id"]) for r in nndescent.nearest(vectors, vectors.select(F.col("vec_id").alias("id"))).collect()} == {(big, big + 2), (big + 2, big)}
 
 
 def test_lines(spark, odd):
