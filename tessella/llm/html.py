@@ -5,8 +5,9 @@ its attributes' tokens, its depth and its siblings. The trees estimate whether a
 Decoding picks the set of elements with the largest total log-odds such that a kept element's ancestors are
 all kept: an element is never kept inside a dropped one, and no two choices contradict each other.
 
-The trees are trained here, on generated pages with known main text (many layouts, names and kinds of
-boilerplate); no page of the input is used.
+The trees are trained here, on generated pages with known main text (many layouts, names and kinds of boilerplate, with
+names that mislead); no page of the input is used. What an attribute's token tells is learned too: tokens are hashed to
+slots, and a slot's log-odds come from pages of their own, apart from those of the trees.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,18 +29,12 @@ from pyspark.sql import functions as F
 from tessella.llm import boosting
 from tessella.llm.common import id_text
 
-# Element groups and attribute words. Fixed values.
+# Element groups. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 NO_TEXT = frozenset("script style textarea title noscript iframe template xmp noembed noframes head select option button svg canvas audio video object".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption hr".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
-GOOD = frozenset("article articles content contents main post posts entry body story text page blog news document prose reading single editorial".split())
-BAD = frozenset(
-    "nav navigation navbar menu menus footer foot header masthead sidebar side aside ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners comment comments "
-    "reply replies discussion disqus respond notice notices cookie cookies consent gdpr alert share sharing social related recommended more links breadcrumb breadcrumbs pagination pager login signup subscribe newsletter "
-    "form search widget widgets popup modal overlay toolbar tags tag meta copyright legal rail skip teaser outbrain taboola hidden print author bio feedback rating".split()
-)
 PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dd dt td figcaption".split())
 TAG_GROUPS = (
     frozenset({"article", "main"}), frozenset({"section"}), frozenset({"div"}), frozenset({"p", "blockquote", "pre"}), frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("ul ol dl menu".split()), frozenset("li dd dt".split()),
@@ -45,8 +42,10 @@ TAG_GROUPS = (
     frozenset("b i em strong span u code small sub sup mark q cite abbr time".split()), frozenset({"figure", "figcaption"}), frozenset({"html", "body"}), frozenset({"dialog", "details"}),
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>?", re.S)
+ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Slots of hashed attribute tokens.
+SLOTS = 1 << 12
 NAMES = re.compile(r"[a-z]+")
 
 
@@ -90,7 +89,7 @@ def parse(page: str) -> list[Node]:
         names, hidden = _attributes(m[3]) if m[3] and m[3].strip() else ((), False)
         nodes.append(Node(tag, stack[-1], len(stack), names, hidden))
         nodes[stack[-1]].parts.append(len(nodes) - 1)
-        if tag in VOID or m[0].endswith("/>"):
+        if tag in VOID:
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
@@ -137,19 +136,28 @@ def _attributes(text: str) -> tuple[tuple[str, ...], bool]:
     return tuple(names), hidden
 
 
-def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows, and the length of each element's own text."""
+def slot(name: str) -> int:
+    """Where the log-odds of an attribute token stand."""
+    return zlib.crc32(name.encode()) % SLOTS
+
+
+SIDE = frozenset("nav aside footer header form dialog".split())
+
+
+def features(nodes: list[Node], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows, and the length of each element's own text; ``odds``: log-odds of each slot of attribute tokens."""
     n = len(nodes)
-    own, link, marks, prose, count, bad_text = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    good, bad = np.zeros(n), np.zeros(n)
+    own, link, marks, prose, count, side = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    told, most, least = np.zeros(n), np.zeros(n), np.zeros(n)
     for i, x in enumerate(nodes):
         silent = x.tag in NO_TEXT
         for p in x.parts:
             if isinstance(p, str) and not silent:
                 own[i] += len(p.strip())
                 marks[i] += p.count(".") + p.count(",")
-        good[i] = sum(w in GOOD for w in x.names)
-        bad[i] = sum(w in BAD for w in x.names)
+        if x.names:
+            o = odds[[slot(w) for w in x.names]]
+            told[i], most[i], least[i] = o.sum(), max(o.max(), 0), min(o.min(), 0)
     text = own.copy()
     total_marks, kids, paragraphs = marks.copy(), np.zeros(n), np.zeros(n)
     longest = own.copy()
@@ -159,28 +167,31 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
             link[i] = text[i]
         if x.tag in PROSE:
             prose[i] = text[i]
-        if bad[i] > 0 or x.tag in ("nav", "aside", "footer", "form", "header"):
-            bad_text[i] = text[i]
+        if told[i] < -1 or x.tag in SIDE:
+            side[i] = text[i]
         count[i] += 1
         kids[p] += 1
         paragraphs[p] += x.tag in PROSE
         text[p] += text[i]
         link[p] += link[i]
         prose[p] += prose[i]
-        bad_text[p] += min(bad_text[i], text[i])
+        side[p] += min(side[i], text[i])
         total_marks[p] += total_marks[i]
         count[p] += count[i]
         longest[p] = max(longest[p], longest[i])
     whole = max(text[0], 1.0)
-    above_good, above_bad, above_tag = np.zeros(n), np.zeros(n), np.zeros(n)
+    above_told, above_main, above_side, share = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     place, same = np.zeros(n), np.zeros(n)
     for i in range(n):
         x = nodes[i]
+        share[i] = text[i] / whole
         if x.parent >= 0:
             p = x.parent
-            above_good[i] = above_good[p] + (good[p] > 0) + (nodes[p].tag in ("article", "main"))
-            above_bad[i] = above_bad[p] + (bad[p] > 0) + nodes[p].hidden
-            above_tag[i] = above_tag[p] + (nodes[p].tag in ("nav", "aside", "footer", "header", "form", "dialog", "button"))
+            # A wrapper of nearly the whole page says little about its content.
+            inner = share[p] < 0.9
+            above_told[i] = above_told[p] + told[p] * inner
+            above_main[i] = above_main[p] + (nodes[p].tag in ("article", "main"))
+            above_side[i] = above_side[p] + (nodes[p].tag in SIDE or nodes[p].hidden) * inner
         children = [c for c in x.parts if not isinstance(c, str)]
         tags = Counter(nodes[c].tag for c in children)
         for k, c in enumerate(children):
@@ -196,8 +207,8 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     parent = np.array([max(x.parent, 0) for x in nodes])
     t = np.maximum(text, 1)
     body = np.stack([
-        np.log1p(text), np.log1p(own), text / whole, text / np.maximum(text[parent], 1), link / t, prose / t, total_marks / t, np.log1p(count), text / np.maximum(count, 1), np.log1p(longest), kids, paragraphs,
-        bad_text / t, good, bad, above_good, above_bad, above_tag, np.array([x.depth for x in nodes], float), place, same, (link[parent] / t[parent]), np.minimum(good[parent], 2), np.minimum(bad[parent], 2),
+        np.log1p(text), np.log1p(own), share, text / np.maximum(text[parent], 1), link / t, prose / t, total_marks / t, np.log1p(count), text / np.maximum(count, 1), np.log1p(longest), kids, paragraphs,
+        side / t, told, most, least, above_told, above_main, above_side, np.array([x.depth for x in nodes], float), place, same, (link[parent] / t[parent]), told[parent], share[parent],
     ], axis=1)
     return np.hstack([body, groups]), own
 
@@ -259,6 +270,9 @@ def text_of(nodes: list[Node], keep: np.ndarray) -> str:
 
 # -- generated training pages
 
+#: A private-use character that marks main text in training pages.
+MARK = "\ue000"
+
 
 def _words(rng: random.Random, n: int) -> str:
     out = []
@@ -272,7 +286,7 @@ def _words(rng: random.Random, n: int) -> str:
 
 def training_page(rng: random.Random) -> str:
     """A page whose main text carries the private-use mark U+E000 in every text run."""
-    good = lambda n: "".join("" + _words(rng, n))
+    good = lambda n: MARK + _words(rng, n)
     name = lambda options: rng.choice(["class", "id", "class"]) + '="' + rng.choice(["", "", "x-", "site-", "c" + str(rng.randint(1, 9)) + " "]) + rng.choice(options) + rng.choice(["", "", "-inner", " wrap", "_1"]) + '"'
     tag = lambda t, options: rng.choice([f"<{t}", f"<div {name(options)}", f"<div {name(options)}", f"<{t} {name(options)}"])
     close = lambda opened: "</" + opened[1:].split()[0] + ">"
@@ -307,70 +321,103 @@ def training_page(rng: random.Random) -> str:
         return "".join(parts)
 
     main = prose()
-    o = rng.choice(["<article", "<main", f"<div {name(['content', 'post', 'entry', 'article-body', 'story', 'main-content', 'text'])}", "<article", f"<article {name(['post', 'story'])}", "<div", "<section"])
-    main = o + ">" + main + rng.choice(["", "", share(), comments()]) + close(o)
+    # Names that mislead: main text may stand in an element whose name is a menu's or a banner's, and the reverse.
+    odd = ["author", "meta", "banner", "header", "share", "promo", "widget", "notice", "links", "side", "tags"]
+    plain_names = ["content", "post", "entry", "article-body", "story", "main-content", "text", "prose", "page", "single", "body-copy", "block", "col", "row", "wrap"]
+    o = rng.choice(["<article", "<main", f"<div {name(plain_names)}", "<article", f"<article {name(['post', 'story'])}", "<div", "<section", f"<section {name(plain_names)}", f"<td {name(plain_names)}"])
+    if rng.random() < 0.25:
+        o = rng.choice(["<article", "<article", "<div", "<section"]) + f' class="{rng.choice(plain_names)} {rng.choice(odd)}"' if rng.random() < 0.6 else f"<article {name(odd)}"
+    end = close(o)
+    o = "<table><tr>" + o if o.startswith("<td") else o
+    main = o + ">" + main + rng.choice(["", "", share(), comments()]) + end + ("</tr></table>" if end == "</td>" else "")
     if rng.random() < 0.3:
-        main = rng.choice(["<main>", "<div class=container>", "<div id=page>"]) + rng.choice(["", side(), advert()]) + main + rng.choice(["", side(), comments()])
+        main = rng.choice(["<main>", "<div class=container>", "<div id=page>", f"<div {name(odd)}>"]) + rng.choice(["", side(), advert()]) + main + rng.choice(["", side(), comments()])
         main += "</main>" if main.startswith("<main>") else "</div>"
     before = "".join(p() for p in rng.sample([nav, header, advert, notice, side, form], rng.randint(0, 4)))
     after = "".join(p() for p in rng.sample([footer, side, comments, advert, share, form, notice, nav], rng.randint(0, 4)))
-    return f"<html><head><title>{_words(rng, 4)}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{before}<!-- x -->{main}{after}</body></html>"
+    inner = f"{before}<!-- x -->{main}{after}"
+    if rng.random() < 0.2:
+        whole = rng.choice(["<form action=/p method=post", "<form id=aspnetForm", f"<div {name(odd)}", "<div class=site", "<div id=wrapper"])
+        inner = whole + ">" + inner + close(whole)
+    return f"<html><head><title>{_words(rng, 4)}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{inner}</body></html>"
+
+
+@dataclass
+class Extractor:
+    """The trees, and the log-odds of each slot of attribute tokens."""
+
+    trees: boosting.Trees
+    odds: np.ndarray
+
+
+def _marked(rng: random.Random) -> tuple[list[Node], np.ndarray]:
+    """A training page's elements, and which of them hold main text."""
+    nodes = parse(training_page(rng))
+    holds = np.zeros(len(nodes), bool)
+    for i in range(len(nodes) - 1, -1, -1):
+        x = nodes[i]
+        marked = any(isinstance(p, str) and MARK in p for p in x.parts)
+        x.parts = [p.replace(MARK, "") if isinstance(p, str) else p for p in x.parts]
+        holds[i] |= marked
+        if i and holds[i]:
+            holds[x.parent] = True
+    return nodes, holds
 
 
-def train(pages: int = 900, seed: int = 5) -> boosting.Trees:
-    """Fit the trees on generated pages: an element is positive if its subtree holds main text."""
+@lru_cache(maxsize=4)
+def train(pages: int = 400, seed: int = 5) -> Extractor:
+    """Fit on generated pages: an element is positive if its subtree holds main text. A process trains once."""
     rng = random.Random(seed)
+    yes, no = np.zeros(SLOTS), np.zeros(SLOTS)
+    for _ in range(pages // 2):
+        nodes, holds = _marked(rng)
+        for x, y in zip(nodes, holds, strict=True):
+            for w in set(x.names):
+                (yes if y else no)[slot(w)] += 1
+    odds = np.log((yes + 3) / (no + 3))  # shrunk: a slot that was never seen says nothing
     xs, ys, ws = [], [], []
     for _ in range(pages):
-        nodes = parse(training_page(rng))
-        holds = np.zeros(len(nodes), bool)
-        for i in range(len(nodes) - 1, -1, -1):
-            x = nodes[i]
-            marked = any(isinstance(p, str) and "" in p for p in x.parts)
-            x.parts = [p.replace("", "") if isinstance(p, str) else p for p in x.parts]
-            holds[i] |= marked
-            if i and holds[i]:
-                holds[x.parent] = True
-        f, own = features(nodes)
+        nodes, holds = _marked(rng)
+        f, own = features(nodes, odds)
         some = f[:, 0] > 0
         xs.append(f[some])
         ys.append(holds[some])
         ws.append((np.log1p(own) + 0.3)[some])
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
+    return Extractor(boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws)), odds)
 
 
-def extract(pages: list[str | None], trees: boosting.Trees) -> list[str]:
+def extract(pages: list[str | None], model: Extractor) -> list[str]:
     """The main text of each page."""
     out = [""] * len(pages)
     parsed, found, owns = [], [], []
     for i, page in enumerate(pages):
         if page:
             nodes = parse(page)
-            f, own = features(nodes)
+            f, own = features(nodes, model.odds)
             parsed.append((i, nodes))
             found.append(f)
             owns.append(own)
     if not parsed:
         return out
-    margins = np.split(trees.margin(np.concatenate(found)), np.cumsum([len(f) for f in found])[:-1])
+    margins = np.split(model.trees.margin(np.concatenate(found)), np.cumsum([len(f) for f in found])[:-1])
     for (i, nodes), margin, own in zip(parsed, margins, owns, strict=True):
         out[i] = text_of(nodes, decode(nodes, margin, own))
     return out
 
 
-def main_text(pages: DataFrame, trees: boosting.Trees, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, model: Extractor, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row.
 
-    Null and empty pages have an empty text. Null ids and repeated rows give a row each; an empty table none.
+    Null and empty pages have an empty text. Null ids and urls and repeated rows give a row each; an empty table none. A
+    page of any length is read whole; of several articles all are kept. Other columns are not read.
     """
-    shared = pages.sparkSession.sparkContext.broadcast((trees.features, trees.thresholds, trees.values))  # a fixed size
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = boosting.Trees(*shared.value)
         for b in batches:
             for s in range(0, len(b), 200):
                 part = b.iloc[s : s + 200]
-                texts = extract(part["html"].tolist(), model)
+                texts = extract(part["html"].tolist(), shared.value)
                 yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": texts, "n_chars": np.fromiter(map(len, texts), np.int64, len(texts))})
 
     rows = pages.select(id_text(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"))

@@ -2,10 +2,12 @@
 
 A text is a TF-IDF vector over selected terms (whole words and pieces of four to six characters). Terms are
 chosen by a chi-square test on a bounded sample of labelled rows; their document frequencies are counted
-over all documents. The index holds the sample's vectors as inverted lists, cut into blocks of neighbouring
+over all documents. Over all terms, few marked words drown in a long text's topic: neighbours by every word and piece
+reach an area under the curve of 0.76 to 0.86 where the selected terms reach 0.96 (README). The index holds the sample's vectors as inverted lists, cut into blocks of neighbouring
 examples with each term's largest weight in the block. A query visits blocks by falling upper bound and
 stops when no block can hold a nearer example, so its nearest examples by cosine are exact. Their votes,
-weighted by similarity, are calibrated on the sample (each example without itself) by isotonic regression.
+weighted by similarity, are calibrated by isotonic regression on votes across folds: each tenth of the sample is scored
+with terms and an index that come from the rest.
 """
 
 from __future__ import annotations
@@ -16,16 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, held_out, spread
+from tessella.llm.common import checkpointed, held_out, id_text, spread
 
 #: Bounds of the fitted classifier: labelled rows of each class, and terms.
 SAMPLE, TERMS = 1500, 2048
 #: A term must be this much more frequent in one class (chi-square, and ratio of frequencies).
 CHI_SQUARE, RATIO = 20.0, 4.0
-NEIGHBOURS, BLOCK = 15, 128
+NEIGHBOURS, BLOCK, FOLDS = 15, 128, 10
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W_]+")
 PIECES = (4, 5, 6)
@@ -164,35 +166,39 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms
     picked = marks.filter("y = 0").orderBy(spread(F.col("doc_id")), "doc_id").limit(sample)
     picked = picked.unionByName(marks.filter("y = 1").orderBy(spread(F.col("doc_id")), "doc_id").limit(sample))
     # At most 2 * sample ids: small enough to broadcast.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    rows = checkpointed(rows)
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    empty = ToxicityModel({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), prior, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)), np.zeros((0, 1), np.int64), np.array([-1.0]), np.array([prior]))
-    if len(sizes) < 2:
-        return empty
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    # Of rows that repeat an id, the smallest text counts.
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = checkpointed(texts.withColumn("fold", F.pmod(F.xxhash64(F.lit(104729), "doc_id"), F.lit(FOLDS)).cast("int")))
+    sizes = {(r["y"], r["fold"]): r["n"] for r in rows.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if {y for y, _ in sizes} != {0, 1}:
+        return no_terms(prior)
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: dict[str, list[int]] = {}
-            for text, y in zip(b["text"], b["y"], strict=True):
+            for text, y, fold in zip(b["text"], b["y"], b["fold"], strict=True):
                 found: set[str] = set()
                 for word in set(WORD.findall((text or "").lower())):
                     found |= pieces(word)
                 for term in found:
-                    seen.setdefault(term, [0, 0])[int(y)] += 1
-            yield pd.DataFrame([(t, n[0], n[1]) for t, n in seen.items()], columns=["term", "clean", "toxic"])
-
-    counted = rows.mapInPandas(occurrences, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    n, m = float(sizes[0]), float(sizes[1])
-    c, t = F.col("c").cast("double"), F.col("t").cast("double")
-    df = c + t
-    chi = (n + m) * (t * (n - c) - c * (m - t)) ** 2 / (df * (n + m - df + 1e-9) * n * m)
-    ratio = F.greatest((t + 0.5) / (m + 1) / ((c + 0.5) / (n + 1)), (c + 0.5) / (n + 1) / ((t + 0.5) / (m + 1)))
-    chosen = counted.withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & (ratio >= RATIO)).orderBy(F.desc("chi"), "term").limit(terms)
-    names = {r["term"]: i for i, r in enumerate(chosen.select("term").collect())}
-    if not names:
-        return empty
-    shared = docs.sparkSession.sparkContext.broadcast(names)  # at most ``terms`` entries
+                    seen.setdefault(term, [0] * (2 * FOLDS))[int(y) * FOLDS + int(fold)] += 1
+            yield pd.DataFrame({"term": list(seen), **{f"n{k}": [n[k] for n in seen.values()] for k in range(2 * FOLDS)}})
+
+    names = [f"n{k}" for k in range(2 * FOLDS)]
+    counted = rows.select("text", "y", "fold").mapInPandas(occurrences, "term string, " + ", ".join(f"{k} long" for k in names)).groupBy("term").agg(*[F.sum(k).alias(k) for k in names])
+    # Without one fold after the other, and with all.
+    parts = [[f for f in range(FOLDS) if f != out] for out in (*range(FOLDS), None)]
+    total = lambda y, part: float(sum(sizes.get((y, f), 0) for f in part))
+    strength = [_strength(sum(F.col(f"n{f}") for f in part), sum(F.col(f"n{FOLDS + f}") for f in part), total(0, part), total(1, part)) for part in parts]
+    strong = counted.select("term", *[k.alias(f"s{i}") for i, k in enumerate(strength)]).withColumn("most", F.greatest(*[f"s{i}" for i in range(len(parts))]))
+    # At most ``terms`` for each part of the sample.
+    chosen = strong.filter(F.col("most") >= CHI_SQUARE).orderBy(F.desc("most"), "term").limit(terms * len(parts)).collect()
+    names_of = [[r["term"] for r in sorted(chosen, key=lambda r: (-r[f"s{i}"], r["term"]))[:terms] if r[f"s{i}"] >= CHI_SQUARE] for i in range(len(parts))]
+    every = {t: i for i, t in enumerate(sorted(set().union(*names_of)))}
+    if not names_of[-1]:
+        return no_terms(prior)
+    shared = docs.sparkSession.sparkContext.broadcast(every)  # a bounded number of terms
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, total, seen = TermCounter(shared.value), np.zeros(len(shared.value), np.int64), 0
@@ -206,25 +212,57 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms
 
     spectrum = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     freq = {r["term"]: r["n"] for r in spectrum.collect()}
-    idf = np.log((1 + freq.get(-1, 0)) / (1 + np.array([freq.get(i, 0) for i in range(len(names))], np.float64))) + 1
+    idf = np.log((1 + freq.get(-1, 0)) / (1 + np.array([freq.get(i, 0) for i in range(len(every))], np.float64))) + 1
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = TermCounter(shared.value)
         for b in batches:
             found = [count(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "t": [list(f) for f in found], "n": [list(f.values()) for f in found]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "fold": b["fold"], "t": [list(f) for f in found], "n": [list(f.values()) for f in found]})
+
+    got = rows.mapInPandas(vectors, "doc_id long, y int, fold int, t array<int>, n array<int>").orderBy("doc_id").collect()
+    raw, y = [], []
+    for out in range(FOLDS):
+        model = _index(names_of[out], every, idf, [r for r in got if r["fold"] != out], prior)
+        place = {every[t]: i for t, i in model.terms.items()}
+        for r in got:
+            if r["fold"] == out:
+                raw.append(model.vote({place[t]: n for t, n in zip(r["t"], r["n"], strict=True) if t in place})[0])
+                y.append(r["y"])
+    model = _index(names_of[-1], every, idf, got, prior)
+    raw, y = np.array(raw), np.array(y, np.float64)
+    # The sample is balanced; weights restore the share of each class among all labelled rows.
+    share = {1: prior / max(y.mean(), 1e-9), 0: (1 - prior) / max(1 - y.mean(), 1e-9)}
+    model.steps, model.values = isotonic(raw, y, np.where(y == 1, share[1], share[0]))
+    return model
+
+
+def no_terms(prior: float) -> ToxicityModel:
+    """A model that knows the share of toxic rows only."""
+    return ToxicityModel({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), prior, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)), np.zeros((0, 1), np.int64), np.array([-1.0]), np.array([prior]))
+
 
-    got = rows.mapInPandas(vectors, "doc_id long, y int, t array<int>, n array<int>").collect()
+def _strength(c: Column, t: Column, n: float, m: float) -> Column:
+    """Chi-square of a term in ``c`` of ``n`` clean and ``t`` of ``m`` toxic texts; 0 if its share in both is much alike."""
+    c, t = c.cast("double"), t.cast("double")
+    df = c + t
+    chi = (n + m) * (t * (n - c) - c * (m - t)) ** 2 / (df * (n + m - df + 1e-9) * max(n, 1) * max(m, 1) + 1e-9)
+    toxic, clean = (t + 0.5) / (m + 1), (c + 0.5) / (n + 1)
+    return F.when(F.greatest(toxic / clean, clean / toxic) >= RATIO, chi).otherwise(0.0)
+
+
+def _index(names: list[str], every: dict[str, int], idf: np.ndarray, rows: list, prior: float) -> ToxicityModel:
+    """The block-max index of ``rows`` over ``names``, not calibrated yet."""
+    terms = {t: i for i, t in enumerate(names)}
+    own = {every[t]: i for t, i in terms.items()}
+    weight = idf[[every[t] for t in names]] if names else np.zeros(0)
+    counts = [{own[t]: n for t, n in zip(r["t"], r["n"], strict=True) if t in own} for r in rows]
     # Examples with the same strongest term are neighbours, so that block bounds are tight.
-    strongest = [max(r["t"], key=lambda t: (idf[t], t), default=-1) for r in got]
-    order = sorted(range(len(got)), key=lambda i: (got[i]["y"], strongest[i], got[i]["doc_id"]))
-    counts = [dict(zip(got[i]["t"], got[i]["n"], strict=True)) for i in order]
-    model = ToxicityModel(names, idf, np.array([got[i]["doc_id"] for i in order], np.int64), np.array([got[i]["y"] for i in order], np.float64), prior, *_lists([], len(names), len(order)), np.array([-1.0]), np.array([prior]))
-    model.begins, model.examples, model.weights, model.block_max, model.block_begins = _lists([model.vector(x) for x in counts], len(names), len(order))
-    raw = np.array([model.vote(x, skip=i)[0] for i, x in enumerate(counts)])
-    # The sample is balanced; weights restore the share of each class among all labelled rows.
-    share = {1: prior / max(model.labels.mean(), 1e-9), 0: (1 - prior) / max(1 - model.labels.mean(), 1e-9)}
-    model.steps, model.values = isotonic(raw, model.labels, np.where(model.labels == 1, share[1], share[0]))
+    strongest = [max(x, key=lambda t: (weight[t], t), default=-1) for x in counts]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["y"], strongest[i], rows[i]["doc_id"]))
+    ids, labels = np.array([rows[i]["doc_id"] for i in order], np.int64), np.array([rows[i]["y"] for i in order], np.float64)
+    model = ToxicityModel(terms, weight, ids, labels, prior, *_lists([], len(names), len(order)), np.array([-1.0]), np.array([prior]))
+    model.begins, model.examples, model.weights, model.block_max, model.block_begins = _lists([model.vector(counts[i]) for i in order], len(names), len(order))
     return model
 
 
@@ -246,7 +284,8 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", t
     """Score, verdict and evidence (nearest labelled examples and their cosines) of every row.
 
     A null or empty text, and one without selected terms, has no neighbours and scores the calibrated share
-    of toxic rows among such texts. Null ids and repeated rows give a row each; only two columns are read.
+    of toxic rows among such texts. Null ids and repeated rows give a row each, an empty table none; a text of any length
+    is read whole, and equal texts score alike. Only two columns are read, so others may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and the terms
 
@@ -256,17 +295,21 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", t
         for b in batches:
             found = [m.score(count(t)) for t in b["text"]]
             yield pd.DataFrame({
-                "doc_id": b["id"].astype("Int64"), "score": [f[0] for f in found], "predicted": np.array([f[0] >= threshold for f in found], np.int32),
+                "doc_id": b["id"], "score": [f[0] for f in found], "predicted": np.array([f[0] >= threshold for f in found], np.int32),
                 "neighbours": [m.ids[f[1]] for f in found], "similarities": [f[2] for f in found],
             })
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    out = rows.mapInPandas(run, "doc_id long, score double, predicted int, neighbours array<long>, similarities array<double>")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "neighbours", "similarities")
+    rows = docs.select(id_text(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    out = rows.mapInPandas(run, "doc_id string, score double, predicted int, neighbours array<long>, similarities array<double>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "neighbours", "similarities")
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below the threshold."""
+    """The rows of ``docs``, all columns, whose text scores below the threshold.
+
+    Null and empty texts stay, unless most labelled texts without terms are toxic. Rows are judged one by one, so repeated
+    rows stay or go together, and ids play no part; an empty table stays empty. No column is added: others may have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
