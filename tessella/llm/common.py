@@ -17,18 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names; a lost executor then costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is used where it is set. Only where it is unset (a single machine, tests) a
-    temporary folder stands in.
+    Where it is unset, a temporary folder stands in on a single machine (``local`` masters, as in tests); on a cluster that
+    is an error, since executors would not see each other's files.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tessella-shared-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder; a lost executor then costs no recomputation."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def id_text(name: str) -> Column:
     """An id on its way through pandas, which would turn longs beside nulls into doubles."""
     return F.col(name).cast("long").cast("string")

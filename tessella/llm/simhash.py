@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import checkpointed, id_text
@@ -58,15 +58,20 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """``(id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
+    """``id, fp, th`` of every row: its fingerprint as a signed long, and the hash of its text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.fromiter((majority(shingle_hashes(t, width)) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"id": b["id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"id": b["id"], "th": b["th"], "fp": fps.view(np.int64)})
 
-    rows = docs.select(id_text(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInPandas(run, "id string, fp long").select(F.col("id").cast("long").alias("id"), "fp")
+    text = F.col(text_column).cast("string")
+    rows = docs.select(id_text(id_column).alias("id"), _text_hash(text_column).alias("th"), text.alias("text"))
+    return rows.mapInPandas(run, "id string, th long, fp long").select(F.col("id").cast("long").alias("id"), "fp", "th")
+
+
+def _text_hash(text_column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
 
 
 class Forest:
@@ -184,20 +189,47 @@ def near_links(nodes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataF
     return placed.mapInPandas(run, "a long, b long")
 
 
+def _grouped(rows: DataFrame, distance: int) -> DataFrame:
+    """``fp, root``: the group of each different fingerprint; the groups of fingerprints without links are left out."""
+    return connected_components(near_links(rows.select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
     The component is the smallest id that is reachable over fingerprints within ``distance`` bits. Rows with
     equal fingerprints are always together; texts without words have fingerprint zero and link like others. A
     null text counts as empty. A null id is never the smallest; a component of null ids only has a null
-    component. Repeated rows each give a row. An empty table gives no rows.
+    component. Repeated rows each give a row. An empty table gives no rows. A text of any length counts whole. Only the
+    two named columns are read, so others may have any name.
     """
-    rows = checkpointed(fingerprints(docs, id_column, text_column, width))
+    rows = checkpointed(fingerprints(docs, id_column, text_column, width).select("id", "fp"))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(near_links(nodes.select("fp"), distance))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = checkpointed(placed)
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(least, "root").select("fp", "component_id")
+    roots = checkpointed(_grouped(nodes, distance))
+    # The least id of a group is a partial aggregate; only nodes that are linked need it, so no group meets in one task.
+    least = nodes.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    of = roots.join(least, "root").select("fp", "component_id")
+    placed = nodes.join(of, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(of, "fp").select(F.col("id").alias("doc_id"), text.alias("fingerprint"), "component_id")
+    return rows.join(placed, "fp").select(F.col("id").alias("doc_id"), text.alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: one row of each group stays.
+
+    That is the row with the smallest id (no id comes last), then the smallest text hash; of rows that repeat both, one.
+    """
+    rows = checkpointed(fingerprints(docs, id_column, text_column, width))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    roots = checkpointed(_grouped(nodes, distance))
+    # Partial aggregates only: a hot group is one row per fingerprint, then one per task.
+    placed = nodes.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"), F.col("first.th").alias("th"))
+    # Rows that repeat id and text are one row; they collapse within their partition before anything is exchanged.
+    mark, own = "_" + max([*docs.columns, ""], key=len), F.col(id_column).cast("long")
+    none, key, th = f"{mark}n", f"{mark}i", f"{mark}t"
+    rows_of = docs.select(own.isNull().alias(none), F.coalesce(own, F.lit(0)).alias(key), _text_hash(text_column).alias(th), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mark))
+    one = rows_of.groupBy(none, key, th).agg(F.first(mark).alias(mark))
+    wanted = kept.select(F.col("id").isNull().alias(none), F.coalesce("id", F.lit(0)).alias(key), F.col("th").alias(th))
+    return one.join(wanted, [none, key, th], "left_semi").select(F.col(f"{mark}.*"))

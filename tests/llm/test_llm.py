@@ -325,6 +325,17 @@ def test_simhash(spark, odd, corpus):
     assert {i: r["component_id"] for i, r in got.items()} == roots_of(set(fp), links)
 
 
+def test_near_duplicates_leave_one_row_of_each_group(spark, odd):
+    rng = random.Random(14)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    rows = [(7, a, "first"), (3, a, "copy"), (3, b, "same id, another text"), (3, a, "copy"), (None, c, "no id"), (None, c, "no id"), (9, None, "null"), (8, "", "empty"), (8, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("root", F.lit(1)).repartition(3)
+    out = simhash.keep_one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"], r["fp"]) for r in out.collect()) == sorted([(3, a, "copy"), (3, b, "same id, another text"), (0, c, "no id"), (8, "", "empty")])
+    assert simhash.keep_one_of_each(odd.limit(0)).columns == odd.columns
+
+
 def test_packing(spark, odd):
     rng = random.Random(7)
     sizes = [rng.randint(1, 4096) for _ in range(500)]
@@ -568,7 +579,7 @@ def test_pipeline_on_small_table(spark):
     assert [n for n, _ in p.STAGES] == ["toxicity", "quality rules", "line dedup", "SimHash near-dedup", "best-fit packing"]
     out = p.run(spark, "/root/testdata/sf0.001")
     rows = out.collect()
-    assert rows and {r["capacity"] for r in rows} <= {None, *packing.LENGTHS}
+    assert rows and {r["capacity"] for r in rows} <= {None, *packing.LENGTHS} and sum(len(r["text"].encode().split()) for r in rows) == sum(r["n_words"] for r in rows) > 0
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").columns == docs.columns
