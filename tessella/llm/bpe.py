@@ -33,7 +33,7 @@ from tessella.llm.common import checkpointed
 from tessella.llm.textfeatures import ranges
 
 #: Characters of a chunk (a longer text is a chunk of its own), and the bytes beyond which a heap folds a word.
-CHUNK, LONG = 1 << 23, 128
+CHUNK, LONG = 6_000_000, 128
 #: Words whose folds are broadcast: about 20 MB. Which words these are changes the work, never the result.
 SHARED = 500_000
 NONE = 1 << 16
@@ -207,7 +207,7 @@ class Positions(dict):
 def chunks_of_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_column: str, text_column: str, size: int, folds: pa.Table | None = None) -> DataFrame:
     """A row per chunk of texts: ``words`` (bytes, and the ids of those that are not left to the fold) and ``texts`` (id, positions).
 
-    ``folds``: ids of a bounded number of words (columns ``word``, ``ids``).
+    ``folds``: ids of a bounded number of words (columns ``word``, ``ids``, ``key``, in order of ``key``).
     """
     # The size of the vocabulary and of ``SHARED`` words.
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.ranks, vocabulary.whole, folds))
@@ -221,20 +221,34 @@ def chunks_of_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_co
 
         cut = regex.compile(pattern)
         ranks, whole, folds = shared.value
-        place = {w: i for i, w in enumerate(folds["word"].to_pylist())} if folds else {}
-        values, ends = _flat(folds["ids"].combine_chunks()) if folds else (np.zeros(0, np.int32), [0])
-        sizes = np.diff(ends)
-
-        def known(words: list[bytes]) -> pa.ListArray:
+        empty = folds is None
+        values, ends = (np.zeros(0, np.int32), np.zeros(1, np.int64)) if empty else _flat(folds["ids"].combine_chunks())
+        keys, names = (np.zeros(0, np.uint64), pa.array([], pa.binary())) if empty else (folds["key"].to_numpy(), folds["word"].combine_chunks())
+        begins, sizes = np.append(ends[:-1], len(values)), np.append(np.diff(ends), 0)
+
+        def places(words: pa.BinaryArray) -> np.ndarray:
+            """Rows of ``folds`` (one past the last for words that it lacks): found by hash, compared as they are."""
+            none = len(keys)
+            if not none or not len(words):
+                return np.full(len(words), none)
+            wanted = _keys(words)
+            at = np.minimum(np.searchsorted(keys, wanted), none - 1)
+            same = pc.equal(names.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+            return np.where(same, at, none)
+
+        def known(words: pa.BinaryArray) -> pa.ListArray:
             """Ids of shared words, of long ones and of those without merges; null for all others."""
-            own = {i: [whole[w]] if w in whole else heap_fold(w, ranks) for i, w in enumerate(words) if len(w) > LONG or w in whole}
-            table = np.concatenate([values, *[np.array(x, np.int32) for x in own.values()]])
-            begins, lengths = np.append(ends[:-1], len(values)).astype(np.int64), np.append(sizes, 0).astype(np.int64)
-            at = np.array([place.get(w, len(sizes)) for w in words], np.int64)
-            start, n = begins[at], lengths[at]
-            after = len(values)
-            for i, x in own.items():
-                start[i], n[i], after = after, len(x), after + len(x)
+            at = places(words)
+            start, n = begins[at], sizes[at]
+            rare = pc.greater(pc.binary_length(words), LONG).to_numpy(zero_copy_only=False)
+            if whole:
+                rare |= pc.is_in(words, pa.array(list(whole), pa.binary())).to_numpy(zero_copy_only=False)
+            own, after = [values], len(values)
+            for i in np.flatnonzero(rare).tolist():
+                w = words[i].as_py()
+                own.append(np.array([whole[w]] if w in whole else heap_fold(w, ranks), np.int32))
+                start[i], n[i], after = after, len(own[-1]), after + len(own[-1])
+            table = np.concatenate(own) if len(own) > 1 else values
             to = np.concatenate([[0], np.cumsum(n)])
             flat = table[np.arange(to[-1]) + np.repeat(start - to[:-1], n)]
             return pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(n == 0))
@@ -247,17 +261,25 @@ def chunks_of_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_co
                 for t in texts.slice(i, j - i).to_pylist():
                     pieces = cut.findall(t or "")
                     found.append(np.fromiter(map(position.__getitem__, pieces), np.int32, len(pieces)))
-                words = [w.encode("utf-8") for w in position]
+                words = pa.array([w.encode("utf-8") for w in position], pa.binary())
                 at = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), np.concatenate(found))
                 del position, found
-                names = pa.StructArray.from_arrays([pa.array(words, pa.binary()), known(words)], names=["word", "ids"])
+                named = pa.StructArray.from_arrays([words, known(words)], names=["word", "ids"])
                 rows = pa.StructArray.from_arrays([b.column(0).slice(i, j - i), at], names=["doc_id", "at"])
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(names)], names), pa.ListArray.from_arrays([0, len(rows)], rows)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(named)], named), pa.ListArray.from_arrays([0, len(rows)], rows)], schema=kinds)
+                del words, at, named, rows
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(run, "words array<struct<word: binary, ids: array<int>>>, texts array<struct<doc_id: long, at: array<int>>>")
 
 
+def _keys(words: pa.BinaryArray) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+
+
 def _folded(words: Column, vocabulary: Vocabulary) -> Column:
     """The ids of each of ``words``; the literal tables are bound once for all of them."""
     return F.get(F.transform(F.array(vocabulary.tables()), lambda t: F.transform(words, lambda w: F.coalesce(w["ids"], vocabulary.fold(t, w["word"])))), 0)
@@ -277,7 +299,10 @@ def shared_folds(chunks: DataFrame, vocabulary: Vocabulary, most: int = SHARED)
         return None
     group = words.filter(F.col("chunks") >= least).select(F.struct("word", F.lit(None).cast("array<int>").alias("ids")).alias("w"))
     folded = group.groupBy(F.pmod(F.xxhash64("w.word"), F.lit(max(1, total // 1000)))).agg(F.collect_list("w").alias("words"))  # about a thousand words each
-    return folded.select(F.inline(F.arrays_zip(F.col("words.word").alias("word"), _folded(F.col("words"), vocabulary).alias("ids")))).toDF("word", "ids").toArrow()
+    found = folded.select(F.inline(F.arrays_zip(F.col("words.word").alias("word"), _folded(F.col("words"), vocabulary).alias("ids")))).toDF("word", "ids").toArrow()
+    keys = _keys(found["word"].combine_chunks())
+    # Should two words share a hash, the second is folded in its chunks.
+    return found.append_column("key", pa.array(keys)).take(pa.array(np.unique(keys, return_index=True)[1]))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_column: str = "doc_id", text_column: str = "text", size: int = CHUNK, shared: int = SHARED) -> DataFrame:
@@ -296,10 +321,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_column: str
     return rows.select(F.inline(F.get(F.transform(F.array(_folded(F.col("words"), vocabulary)), gathered), 0)))
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, list[int]]:
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column without nulls, and where each row begins and ends."""
     offsets = np.asarray(column.offsets)
-    return np.asarray(column.values)[offsets[0] : offsets[-1]], (offsets - offsets[0]).tolist()
+    return np.asarray(column.values)[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
 
 def _bytes(ids: np.ndarray, tokens: list[bytes]) -> bytes:
