@@ -132,6 +132,62 @@ class Series:
         return self._values[i]
 
 
+class Rows:
+    """The rows of a frame."""
+
+    def __init__(self, frame: Frame) -> None:
+        self._frame = frame
+
+    def count(self) -> int:
+        return self._frame.count()
+
+    __len__ = count
+
+    def __getitem__(self, i: int) -> Row:
+        return self._frame.row(i)
+
+    def __iter__(self) -> Iterator[Row]:
+        schema = self._frame.schema
+        return (Row(r, schema) for r in self._frame.iter_rows())
+
+
+class FrameSchema:
+    """Ordered columns with unique names, found without regard to case."""
+
+    def __init__(self, fields: Sequence[T.StructField]) -> None:
+        if not fields:
+            raise ArgumentError("a schema needs at least one column")
+        for f in fields:
+            check_name(f.name)
+        check_unique([f.name for f in fields])
+        self.fields = tuple(fields)
+
+    @classmethod
+    def of(cls, frame: Frame) -> FrameSchema:
+        return cls(frame.schema.fields)
+
+    @property
+    def struct(self) -> T.StructType:
+        return T.StructType(list(self.fields))
+
+    def contains_column(self, name: str) -> bool:
+        check_name(name)
+        return name.lower() in {f.name.lower() for f in self.fields}
+
+    def ordinal(self, name: str) -> int:
+        """The position of a column, from 0."""
+        return [f.name for f in self.fields].index(resolve([f.name for f in self.fields], name))
+
+    def column(self, name: str) -> T.StructField:
+        return self.fields[self.ordinal(name)]
+
+    def __len__(self) -> int:
+        return len(self.fields)
+
+    def __iter__(self) -> Iterator[T.StructField]:
+        return iter(self.fields)
+
+
 class Frame:
     """A table with at least one column, unique case-insensitive names and a row order.
 
@@ -210,6 +266,16 @@ class Frame:
         """The user columns as a DataFrame, without order."""
         return self._df.drop(ORDER) if ORDER in self._df.columns else self._df
 
+    def df_with_position(self, name: str) -> DataFrame:
+        """The user columns, and each row's place in frame order, from 1."""
+        check_unique([*self.columns_list, name])
+        return dense_index(with_order(self._df)).withColumn(name, (F.col("__i") + 1).cast("int")).drop("__i", ORDER)
+
+    @property
+    def rows_view(self) -> Rows:
+        """Rows by position, their number, and iteration in frame order."""
+        return Rows(self)
+
     @property
     def ordered_df(self) -> DataFrame:
         """The user columns, sorted in frame order."""
@@ -383,6 +449,10 @@ class Frame:
             if isinstance(self.field(k).dataType, T.MapType):
                 raise TypeMismatchError(f"column {k!r} is a map and has no equality")
         df = with_order(self._df)
+        if len(keys) == len(self.columns_list) and not any(isinstance(self.field(k).dataType, (T.FloatType, T.DoubleType, *types.COMPLEX)) for k in keys):
+            # A row is its own key: a partial aggregate, without a sort.
+            first = df.groupBy(*map(quoted, self.columns_list)).agg(F.min(ORDER).alias(ORDER))
+            return self._with_rows(first)
         w = Window.partitionBy(*map(quoted, keys)).orderBy(ORDER)
         return self._with_rows(df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n"))
 
@@ -410,10 +480,11 @@ class Frame:
 
     # -- builders
 
-    def group_by(self, *names: str):  # noqa: ANN201
+    def group_by(self, *names: str, require_rows: bool = False):  # noqa: ANN201
+        """Groups by keys; with ``require_rows`` an empty frame raises at the aggregate (one small job), else it has no groups."""
         from tessella.operators.grouping import GroupedFrame
 
-        return GroupedFrame(self, resolve_all(self.columns_list, names, "group_by"))
+        return GroupedFrame(self, resolve_all(self.columns_list, names, "group_by"), require_rows)
 
     def window(self):  # noqa: ANN201
         from tessella.operators.windows import WindowBuilder
@@ -486,4 +557,4 @@ def dense_index(df: DataFrame) -> DataFrame:
     return ranked.join(starts, "__p").withColumn("__i", (F.col("__s") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__s")
 
 
-__all__ = ["Columns", "Frame", "Row", "Series", "dense_index", "order_type"]
+__all__ = ["Columns", "Frame", "FrameSchema", "Row", "Rows", "Series", "dense_index", "order_type"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tessella.errors import ArgumentError
+from tessella.errors import ArgumentError, EmptyFrameError
 from tessella.guards import aggregate, check_aggregate, strict
 from tessella.names import ORDER, check_unique, quoted, resolve
 from tessella.operators.frame import Frame
@@ -49,8 +49,8 @@ class AggregateBuilder:
 class GroupedFrame:
     """Groups in first-seen order. Null keys raise. Aggregates are named ``{column}_{Kind}``."""
 
-    def __init__(self, frame: Frame, keys: list[str]) -> None:
-        self._frame, self._keys = frame, keys
+    def __init__(self, frame: Frame, keys: list[str], require_rows: bool = False) -> None:
+        self._frame, self._keys, self._require_rows = frame, keys, require_rows
 
     def sum(self, name: str) -> Frame:
         return self.aggregate(lambda b: b.column(name).sum())
@@ -73,6 +73,8 @@ class GroupedFrame:
             raise ArgumentError("the configuration must return the builder")
         if not builder.items:
             raise ArgumentError("no aggregate was configured")
+        if self._require_rows and self._frame.df.isEmpty():
+            raise EmptyFrameError("aggregates of no rows")
         names = [f"{c}_{SUFFIX[k]}" for c, k in builder.items]
         check_unique([*self._keys, *names], "output column")
         keys = [strict(self._frame.field(k), "grouping").alias(k) for k in self._keys]

@@ -38,7 +38,7 @@ MAX_ROWS, MAX_COLUMNS, MAX_INTEGER = 1_048_576, 16_384, 999_999_999_999_999
 
 @dataclass(frozen=True)
 class ExcelReadOptions:
-    """``sheet``: a name or a 1-based position; the first sheet by default."""
+    """``sheet``: a name or a position from 0; the first sheet by default."""
 
     sheet: str | int | None = None
     header: HeaderMode = HeaderMode.INFER
@@ -110,8 +110,8 @@ class _Book:
         if isinstance(which, str):
             found = [s for s in sheets if s.get("name", "").lower() == which.lower()]
         else:
-            i = 1 if which is None else which
-            found = sheets[i - 1 : i] if i >= 1 else []
+            i = 0 if which is None else which
+            found = sheets[i : i + 1] if i >= 0 else []
         if not found:
             raise ArgumentError(f"no sheet {which!r}")
         links = {r.get("Id"): r.get("Target", "") for r in self._xml("xl/_rels/workbook.xml.rels").findall(f"{PACKAGE}Relationship")}

@@ -200,3 +200,30 @@ def test_plans(spark):
     w = f.window().partition_by("l_orderkey").order_by("l_linenumber")
     three = f.add_column("a", w.row_number()).add_column("b", w.lag("l_tax")).add_column("c", w.running_sum("l_tax")).df
     assert three._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_groups_of_no_rows_can_be_required(spark):
+    from tessella.errors import EmptyFrameError
+
+    f = Frame.create(spark, {"k": ["a"], "v": [1]}).filter(cell("v") > 5)
+    assert f.group_by("k").sum("v").count() == 0
+    with pytest.raises(EmptyFrameError):
+        f.group_by("k", require_rows=True).sum("v")
+
+
+def test_schema_and_rows_views(spark):
+    from tessella.operators.frame import FrameSchema
+
+    f = Frame.create(spark, {"a": [3, 1, 2], "B": ["x", "y", "z"]})
+    s = FrameSchema.of(f)
+    assert len(s) == 2 and s.contains_column("b") and not s.contains_column("c") and s.ordinal("b") == 1 and s.column("A").name == "a"
+    assert [r["b"] for r in f.rows_view] == ["x", "y", "z"] and len(f.rows_view) == 3 and f.rows_view[1]["a"] == 1
+    with pytest.raises(Exception, match="at least one"):
+        FrameSchema([])
+
+
+def test_distinct_rows_take_no_window(spark):
+    f = Frame.create(spark, {"a": [2, 1, 2, None, None], "b": ["x", "y", "x", None, None]})
+    g = f.distinct()
+    assert [tuple(r) for r in g.rows()] == [(2, "x"), (1, "y"), (None, None)]
+    assert "Window" not in g.df._jdf.queryExecution().executedPlan().toString()
