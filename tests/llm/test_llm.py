@@ -511,6 +511,15 @@ def test_lines(spark, odd):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_lines_and_white_space(spark):
+    """Tabs and carriage returns are white space: blank lines stay, and runs of white space are one gap."""
+    rows = [(1, "alpha beta gamma\n\t\nsome line\n\t\n\r", "x"), (2, "alpha  beta\tgamma\nanother one", "y"), (None, None, "z"), (3, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _removed string").withColumn("_doc", F.lit(1)).withColumn("_th", F.lit(2)).withColumn("root", F.lit(3))
+    assert {r["doc_id"]: r["removed"] for r in linededup.removed_lines(df).collect()} == {1: [], 2: [0], None: [], 3: []}
+    out = linededup.dedup_lines(df)
+    assert out.columns == df.columns and {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: "another one", None: None, 3: ""}
+
+
 def brute_line_groups(lines):
     """Groups of lines (lower case, split at single spaces) by word-level edit similarity of 0.8, all pairs."""
     split = {x: x.lower().split(" ") for x in lines}
