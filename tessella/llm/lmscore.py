@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, checkpointed
+from tessella.llm.common import SPACE, checkpointed, id_text
 
 #: Classes: one for the text's ends, the most frequent words, hashed shapes of the others.
 FREQUENT, SHAPES, BUCKETS = 127, 4, 16
@@ -213,10 +213,10 @@ def pseudo_likelihood(docs: DataFrame, network: WindowNetwork, id_column: str =
             found = [classify(t) for t in b["text"]]
             n = np.fromiter(map(len, found), np.int64, len(found))
             total = np.array([net.score(x) if len(x) else 0.0 for x in found])
-            yield pd.DataFrame({"doc_id": b["id"].astype("Int64").to_numpy(), "th": b["th"], "n_words": n, "part": total})
+            yield pd.DataFrame({"doc_id": b["id"].to_numpy(), "th": b["th"], "n_words": n, "part": total})
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    scored = rows.withColumn("th", F.xxhash64("text")).mapInPandas(run, "doc_id long, th long, n_words long, part double")
+    rows = docs.select(id_text(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    scored = rows.withColumn("th", F.xxhash64("text")).mapInPandas(run, "doc_id string, th long, n_words long, part double").withColumn("doc_id", F.col("doc_id").cast("long"))
     whole = scored.join(word_gains(docs, network, text_column), "th", "left").withColumn("log_likelihood", F.col("part") + F.coalesce("gain", F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood")
     return whole.select("doc_id", "n_words", "log_likelihood", mean)
