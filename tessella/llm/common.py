@@ -39,6 +39,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that nothing can read any more: it does so when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
