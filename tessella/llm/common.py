@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -41,9 +42,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files that nothing can read any more: it does so when the driver collects garbage."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
+def forget(*checkpoints: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more, and the shuffle files behind them."""
+    for df in checkpoints:
+        plan = df._jdf.queryExecution().analyzed()
+        path = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None  # another plan has no files
+        if path is not None and path.isDefined():
+            drop_folder(df.sparkSession, path.get())
+    if checkpoints:
+        release(checkpoints[0].sparkSession)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
