@@ -543,16 +543,26 @@ class Frame:
         return remove_row(self, i)
 
 
+#: Rows drawn as bounds between ranges: ``2**BOUND_BITS - 1`` at most.
+BOUND_BITS = 10
+
+
 def dense_index(df: DataFrame) -> DataFrame:
     """``df`` with ``__i``: 0, 1, 2, ... in frame order, without moving all rows to one task.
 
-    Rows are range-partitioned on the order, ranked within each partition, and shifted by the row counts of
-    the partitions before. The counts come from a join (one small row per partition).
+    Rows are dealt to ranges of the order, ranked within each range, and shifted by the row counts of the ranges before.
+    The counts come from a join (one small row per range), that is from another pass over the rows: a row's range must be
+    a function of values alone, which Spark's own range partitions are not (each pass samples and merges them anew). The
+    bounds are the rows with the smallest hashes, so ranges are about equal.
     """
-    ranged = df.repartitionByRange(F.col(ORDER)).withColumn("__p", F.spark_partition_id())
-    ranked = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(ORDER)))
-    sizes = ranked.groupBy("__p").agg(F.max("__r").alias("__c"))
-    # One row per partition: a single-task window over them is bounded by the partition count.
+    drawn = df.select(ORDER).orderBy(F.xxhash64(ORDER), ORDER).limit((1 << BOUND_BITS) - 1)
+    bounds = drawn.agg(F.sort_array(F.collect_list(ORDER)).alias("__b"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(BOUND_BITS))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("__b", at + step - 1) <= F.col(ORDER), at + step).otherwise(at))
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn("__p", below).drop("__b")
+    ranked = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(ORDER)))
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    # One row per range: a single-task window over them is bounded by the number of bounds.
     starts = sizes.select("__p", (F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__p")) - F.col("__c")).alias("__s"))
     return ranked.join(starts, "__p").withColumn("__i", (F.col("__s") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__s")
 
