@@ -1,8 +1,10 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
 
+import collections
 import difflib
 import hashlib
 import itertools
+import os
 import random
 import zlib
 
@@ -582,6 +584,20 @@ def test_lines_meet_in_crowded_buckets(spark):
         assert len(set(roots.values())) + len(every) - len(roots) == want
 
 
+def test_line_keys_are_counted_in_shares(spark):
+    """Every word pair of several nodes is found once, no other, and each share is a small table that goes when asked."""
+    rng = random.Random(8)
+    nodes = spark.createDataFrame([(i, sorted({rng.randrange(300) for _ in range(6)})) for i in range(100)], "node long, keys array<long>")
+    shares = linededup.repeated_keys(nodes)
+    counts = collections.Counter(k for r in nodes.collect() for k in r["keys"])
+    found = [[r["key"] for r in x.collect()] for x in shares]
+    assert len(found) == linededup.PASSES and all(found) and sorted(sum(found, [])) == sorted(k for k, n in counts.items() if n > 1)
+    paths = [x._tessella_path for x in shares]
+    assert all(os.path.isdir(x) for x in paths)
+    linededup.forget(*shares)
+    assert not any(os.path.exists(x) for x in paths)
+
+
 def test_pipeline_on_small_table(spark):
     import corpus_pipeline as p
 
