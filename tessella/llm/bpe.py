@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,9 @@ CHUNK, LONG = 6_000_000, 128
 #: Words whose folds are broadcast: about 20 MB. Which words these are changes the work, never the result.
 SHARED = 500_000
 NONE = 1 << 16
+#: Patterns whose pieces hold a space at their beginning only, or nothing but white space, and look ahead over white space only.
+#: Such a text may be cut before every space that follows another character than white space.
+SPACED = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -196,18 +199,63 @@ class Vocabulary:
         return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(F.get(F.transform(F.array(ids), run), 0))
 
 
-class Positions(dict):
-    """Numbers new keys as they are asked for."""
+def pieces_of(texts: pa.StringArray, findall: Callable[[str], list[str]], spaced: bool, only_words: bool = False) -> tuple[pa.BinaryArray, pa.ListArray | None]:
+    """The different pieces of ``texts`` as bytes, and each text as positions in them (none if ``only_words``).
 
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
-
-
-def chunks_of_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_column: str, text_column: str, size: int, folds: pa.Table | None = None) -> DataFrame:
+    ``spaced``: see ``SPACED``. Then each different part between spaces is matched once, all of them in one call, and not at each
+    occurrence. White space before a space runs on into it, so a text with such a part is matched as a whole.
+    """
+    split = pc.split_pattern(texts, " ") if spaced else pa.array([[t] for t in texts.to_pylist()], pa.list_(pa.string()))
+    split = split.cast(pa.list_(pa.string()))
+    parts, at = split.flatten(), np.asarray(split.offsets).astype(np.int64)
+    at -= at[0]
+    heads = parts.take(pa.array(at[:-1])).to_pylist()
+    inner = np.ones(len(parts), bool)
+    inner[at[:-1]] = False
+    coded = parts.filter(pa.array(inner)).dictionary_encode()
+    codes, different = np.asarray(coded.indices), coded.dictionary
+    at -= np.arange(len(at))
+    empty = pc.equal(pc.binary_length(different), 0)
+    open_ = pc.or_(empty, pc.utf8_is_space(pc.utf8_slice_codeunits(different, -1))).to_numpy(zero_copy_only=False)
+    safe = different.filter(pa.array(~open_))
+    # Arrow joins without a Python string per part.
+    matched = findall(" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(safe)], pa.int32()), safe), " ")[0].as_py()) if len(safe) else []
+    starts = np.flatnonzero(np.fromiter((p[0] == " " for p in matched), bool, len(matched)))
+    if len(starts) != len(safe):
+        raise ValueError("the pattern matches over spaces")
+    begins, sizes = np.zeros(len(open_), np.int64), np.zeros(len(open_), np.int64)
+    begins[~open_], sizes[~open_] = starts, np.diff(np.append(starts, len(matched)))
+    runs: list[tuple[np.ndarray, np.ndarray]] = []  # where each text's pieces begin among ``matched``, and how many follow
+
+    def alone(text: str) -> tuple[list[int], list[int]]:
+        found = findall(text)
+        begin = len(matched)
+        matched.extend(found)
+        return [begin], [len(found)]
+
+    for i, head in enumerate(heads):
+        rest = codes[at[i] : at[i + 1]]
+        last = ([], [])
+        if len(rest) and ((head and head[-1].isspace()) or open_[rest[:-1]].any()):
+            head, rest = texts[i].as_py(), rest[:0]
+        elif len(rest) and open_[rest[-1]]:
+            last, rest = alone(" " + different[int(rest[-1])].as_py()), rest[:-1]
+        first = alone(head)
+        runs.append((np.concatenate([first[0], begins[rest], last[0]]), np.concatenate([first[1], sizes[rest], last[1]])))
+    words = pa.array(matched, pa.string()).dictionary_encode()
+    if only_words:
+        return words.dictionary.cast(pa.binary()), None
+    numbers, n = np.asarray(words.indices), np.concatenate([r[1] for r in runs]).astype(np.int64)
+    to = np.cumsum(n)
+    flat = numbers[np.arange(to[-1]) + np.repeat(np.concatenate([r[0] for r in runs]).astype(np.int64) - to + n, n)]
+    ends = np.cumsum([0, *(int(r[1].sum()) for r in runs)])
+    return words.dictionary.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def chunks_of_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_column: str, text_column: str, size: int, folds: pa.Table | None) -> DataFrame:
     """A row per chunk of texts: ``words`` (bytes, and the ids of those that are not left to the fold) and ``texts`` (id, positions).
 
-    ``folds``: ids of a bounded number of words (columns ``word``, ``ids``, ``key``, in order of ``key``).
+    ``folds``: ids of a bounded number of words (columns ``word``, ``ids``, ``key``, in order of ``key``), or none.
     """
     # The size of the vocabulary and of ``SHARED`` words.
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.ranks, vocabulary.whole, folds))
@@ -257,13 +305,7 @@ def chunks_of_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_co
             texts = b.column(1)
             lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             for i, j in ranges(lengths, size):
-                position, found = Positions(), []
-                for t in texts.slice(i, j - i).to_pylist():
-                    pieces = cut.findall(t or "")
-                    found.append(np.fromiter(map(position.__getitem__, pieces), np.int32, len(pieces)))
-                words = pa.array([w.encode("utf-8") for w in position], pa.binary())
-                at = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), np.concatenate(found))
-                del position, found
+                words, at = pieces_of(pc.fill_null(texts.slice(i, j - i), ""), cut.findall, pattern in SPACED)
                 named = pa.StructArray.from_arrays([words, known(words)], names=["word", "ids"])
                 rows = pa.StructArray.from_arrays([b.column(0).slice(i, j - i), at], names=["doc_id", "at"])
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(named)], named), pa.ListArray.from_arrays([0, len(rows)], rows)], schema=kinds)
@@ -274,10 +316,29 @@ def chunks_of_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_co
     return rows.mapInArrow(run, "words array<struct<word: binary, ids: array<int>>>, texts array<struct<doc_id: long, at: array<int>>>")
 
 
+def words_of_chunks(docs: DataFrame, pattern: str, text_column: str, size: int) -> DataFrame:
+    """``word``: the different words of each chunk of texts, as bytes; a row per chunk and word. No piece is told its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        cut = regex.compile(pattern)
+        for b in batches:
+            texts = b.column(0)
+            for i, j in ranges(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), size):
+                words, _ = pieces_of(pc.fill_null(texts.slice(i, j - i), ""), cut.findall, pattern in SPACED, only_words=True)
+                yield pa.RecordBatch.from_arrays([words], names=["word"])
+                del words
+                pa.default_memory_pool().release_unused()
+
+    return docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "word binary")
+
+
 def _keys(words: pa.BinaryArray) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+    at, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist(), memoryview(words.buffers()[2] or b"")
+    return np.fromiter((xxh3_64_intdigest(data[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)), np.uint64, len(words))
 
 
 def _folded(words: Column, vocabulary: Vocabulary) -> Column:
@@ -285,9 +346,9 @@ def _folded(words: Column, vocabulary: Vocabulary) -> Column:
     return F.get(F.transform(F.array(vocabulary.tables()), lambda t: F.transform(words, lambda w: F.coalesce(w["ids"], vocabulary.fold(t, w["word"])))), 0)
 
 
-def shared_folds(chunks: DataFrame, vocabulary: Vocabulary, most: int = SHARED) -> pa.Table | None:
-    """``word, ids`` of the words that occur in most chunks: at most ``most``, all in at least two chunks."""
-    words = chunks.select(F.explode("words.word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
+def shared_folds(words: DataFrame, vocabulary: Vocabulary, most: int = SHARED) -> pa.Table | None:
+    """``word, ids`` of the words that occur in most chunks: at most ``most``, all in at least two chunks. ``words``: see ``words_of_chunks``."""
+    words = words.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
     words = checkpointed(words.filter("chunks > 1"))
     least, total = None, 0
     for r in words.groupBy("chunks").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("chunks")).collect():  # a row per number of chunks
@@ -316,7 +377,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_column: str
     def gathered(ids: Column) -> Column:
         return F.transform("texts", lambda t: F.struct(t["doc_id"].alias("doc_id"), F.flatten(F.transform(t["at"], lambda i: F.get(ids, i))).alias("ids")))
 
-    folds = shared_folds(chunks_of_words(docs, vocabulary, pattern, id_column, text_column, size), vocabulary, shared)
+    folds = shared_folds(words_of_chunks(docs, pattern, text_column, size), vocabulary, shared)
     rows = chunks_of_words(docs, vocabulary, pattern, id_column, text_column, size, folds)
     return rows.select(F.inline(F.get(F.transform(F.array(_folded(F.col("words"), vocabulary)), gathered), 0)))
 

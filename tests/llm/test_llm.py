@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,6 +467,22 @@ def test_bpe(spark, odd):
         assert bpe.heap_fold(w, ranks) == enc.encode_ordinary(w.decode())
 
 
+def test_bpe_matches_each_part_once():
+    P = pytest.importorskip("public_tokenizers")
+    regex = pytest.importorskip("regex")
+    assert P.PATTERN in bpe.SPACED
+    cut, rng = regex.compile(P.PATTERN), random.Random(5)
+    signs = [" ", " ", "  ", "\n", "\t", "a", "b", "\u00e9", "1", ".", "'s", "'", "\x1c", "\x85", "\u00a0", "\u3000", "\u200b", "\r\n"]
+    for _ in range(500):
+        texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(6)]
+        words, at = bpe.pieces_of(pa.array(texts, pa.string()), cut.findall, True)
+        words = [w.decode() for w in words.to_pylist()]
+        assert [[words[i] for i in a] for a in at.to_pylist()] == [cut.findall(t) for t in texts] and len(set(words)) == len(words)
+    calls = []
+    bpe.pieces_of(pa.array(["some words here"] * 50), lambda t: calls.append(t) or cut.findall(t), True)
+    assert sum(map(len, calls)) < 300  # not once per occurrence
+
+
 def test_bpe_finds_whole_words_that_no_merge_makes(spark):
     import tiktoken
 
