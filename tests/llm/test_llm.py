@@ -615,6 +615,32 @@ def test_line_keys_are_counted_in_shares(spark):
     assert not any(os.path.exists(x) for x in paths)
 
 
+def test_line_members_are_exchanged_in_shares(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = []
+    for i in range(30):
+        line = words(rng, 20).split(" ")
+        rows += [(3 * i + j, " ".join([*line[:j], "x", *line[j + 1 :]])) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = linededup.document_lines(docs, "doc_id", "text")
+    nodes = linededup.line_nodes(found, linededup.word_levels(found)).cache()
+    keys = []
+    leaders = linededup.leader_pairs
+    monkeypatch.setattr(linededup, "leader_pairs", lambda n, repeated, *more: keys.append({r["key"] for r in repeated.collect()}) or leaders(n, repeated, *more))
+    roots = {r["node"]: r["root"] for r in linededup.node_links(docs, nodes, "doc_id", "text").collect()}
+    assert len(set(roots.values())) == 30 and len(roots) == 90
+    assert len(keys) == linededup.PASSES and all(keys) and sum(map(len, keys)) == len(set().union(*keys))
+
+
+def test_thinned_finds_every_member(spark):
+    some = spark.range(0, 60_000, 7).withColumnRenamed("id", "key")
+    kept = {r["key"] for r in linededup.thinned(spark.range(60_000).withColumnRenamed("id", "key"), "key", some).collect()}
+    assert kept >= set(range(0, 60_000, 7)) and len(kept) < 8_800  # 8,572 members, and a few by a clash
+    empty = linededup.thinned(some, "key", some.limit(0))
+    assert empty.count() == 0 and empty.columns == ["key"]
+    assert "_bits" not in empty.columns
+
+
 def test_pipeline_on_small_table(spark):
     import corpus_pipeline as p
 
