@@ -641,6 +641,16 @@ def test_thinned_finds_every_member(spark):
     assert "_bits" not in empty.columns
 
 
+def test_filter_of_few_keys_is_small(spark, monkeypatch):
+    """What the driver collects and broadcasts goes by the number of keys: hashed keys would reach every row of a full-size filter."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(linededup.F, "broadcast", lambda d: sent.append(d) or broadcast(d))
+    some = spark.range(3000).select((F.col("id") * 20).alias("key"))
+    kept = {r["key"] for r in linededup.thinned(spark.range(60_000).withColumnRenamed("id", "key"), "key", some).collect()}
+    assert kept >= set(range(0, 60_000, 20)) and len(kept) < 3100
+    assert len(sent) == 1 and sent[0].count() <= 128  # rows of 4 kB; the filter at its largest has 2,048
+
+
 def test_pipeline_on_small_table(spark):
     import corpus_pipeline as p
 
