@@ -150,6 +150,30 @@ def test_nearest_beside_one_huge_vector(spark):
     assert hit / 2000 >= 0.95
 
 
+def test_nearest_in_shares(spark, monkeypatch):
+    """Vectors are exchanged in shares, with the results of one exchange; afterwards only the results are left on disk."""
+    x = np.random.default_rng(5).normal(size=(900, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    kept, rounds = [], []
+    stored, proposals = nndescent.stored, nndescent.proposals
+    monkeypatch.setattr(nndescent, "stored", lambda d: kept.append(stored(d)) or kept[-1])
+    monkeypatch.setattr(nndescent, "proposals", lambda *a: rounds.append(a[3:5]) or proposals(*a))
+    monkeypatch.setattr(nndescent, "SHARE_BYTES", 2_100_000)  # of 900 x 64 vectors of 36 bytes and 32 more: 2 shares
+    got = {}
+    for r in nndescent.nearest(df, df.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("id"))).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert rounds[:2] == [(0, 2), (1, 2)] and len(rounds) % 2 == 0
+    d = x.astype(float)
+    hit = 0
+    for q in range(0, 900, 100):
+        s = d @ d[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(got[q]))
+    assert hit / 180 >= 0.95
+    left = [k for k in kept if os.path.isdir(k._tessella_path)]
+    assert 1 <= len(left) == sum(k.columns == ["query_id", "rank", "vec_id", "score"] for k in kept)
+
+
 def test_search_goes_on_until_nothing_is_left(spark):
     """On a chain towards longer vectors, a search walks all the way, not a fixed number of hops."""
     half = nndescent.scaled_vectors(spark.createDataFrame([(i, [float(i + 1), 0.0]) for i in range(13)], "id long, x array<double>"), 0)
