@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -675,6 +676,31 @@ def test_filter_of_few_keys_is_small(spark, monkeypatch):
     assert len(sent) == 1 and sent[0].count() <= 128  # rows of 4 kB; the filter at its largest has 2,048
 
 
+def test_release_returns_freed_native_memory(spark):
+    """The C library would keep freed blocks: in the pipeline, some 200 MB of the driver's memory."""
+    from pathlib import Path
+
+    from tessella.llm.common import release
+
+    jvm = spark._jvm
+    held = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    held.setAccessible(True)
+    unsafe, pid = held.get(None), jvm.java.lang.ProcessHandle.current().pid()
+    malloc = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    release(spark)
+    before = malloc()
+    blocks = [unsafe.allocateMemory(100_000) for _ in range(1500)]
+    for b in blocks:
+        unsafe.setMemory(b, 100_000, 1)
+    for b in blocks[:-1]:  # the last one keeps the top of the arena in use
+        unsafe.freeMemory(b)
+    kept = malloc()
+    release(spark)
+    after = malloc()
+    unsafe.freeMemory(blocks[-1])
+    assert kept - before > 100 and kept - after > 100, (before, kept, after)
+
+
 def test_pipeline_on_small_table(spark):
     import corpus_pipeline as p
 
